@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import linededup, mixing
+from millrace.llm import decontam, linededup, mixing
+from millrace.llm._session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,13 +21,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "clean_text")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontam.digest(decontam.find_passages(docs, items))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_line_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op3_line_dedup, op7_decontamination, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.DEDUP_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {"op3_line_dedup": linededup.DEDUP_SQL, "op7_decontamination": decontam.FIND_SQL, "op8_mixing": mixing.MIX_SQL}
