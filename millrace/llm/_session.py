@@ -4,25 +4,37 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` read back from the folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as
-    in local tests, a temporary folder serves.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where
+    that is unset, as in local tests, a temporary one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` read back from the folder that all executors share."""
+    _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path not used before, in the folder that all executors share."""
+    return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers on machines that share this code's folder import it.
 

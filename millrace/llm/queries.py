@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, linededup, mixing
+from millrace.llm import decontam, linededup, mixing, quality, tokens
 from millrace.llm._session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "clean_text")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenize(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontam.digest(decontam.find_passages(docs, items))
@@ -30,8 +40,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_line_dedup, op7_decontamination, op8_mixing)}
+    return {f.__name__: f for f in (op3_line_dedup, op6_token_output, op7_decontamination, op8_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
