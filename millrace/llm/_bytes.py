@@ -63,8 +63,11 @@ def text_chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarr
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
 
 
-def spans(is_word: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal true runs, none across rows, and each row's count."""
+def spans(is_word: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal true runs, none across rows, and each row's count.
+
+    ``cuts``: positions where a run is cut as well.
+    """
     if not len(is_word):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs) - 1, np.int64)
@@ -73,6 +76,8 @@ def spans(is_word: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge[0] = True
     np.not_equal(is_word[1:], is_word[:-1], out=edge[1:])
     edge[offs[:-1][filled]] = True
+    if cuts is not None:
+        edge[cuts] = True
     cuts = np.flatnonzero(edge)
     ends = np.append(cuts[1:], len(is_word))
     keep = is_word[cuts]

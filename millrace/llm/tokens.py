@@ -16,9 +16,9 @@ A Simple-8b word keeps a selector in its top four bits and packs as many of the
 next values as fit; selector 0 is the escape for a value of 60 bits or more, which
 follows as a word of its own.
 
-Words between ASCII white space are encoded once for each chunk and kept in a
-bounded cache; the tokenizer drops white space, so this gives the ids of the whole
-text.
+Texts are cut at ASCII white space, which the tokenizer drops, and where it always
+cuts itself (beside a digit, between letters and signs); the pieces are encoded once
+and kept in a bounded cache, so this gives the ids of the whole text.
 
 Defined results: a null or empty text is the end id alone; rows of one id are
 ordered by a hash of their text; null ids come first; an empty table gives no
@@ -28,6 +28,7 @@ blocks; extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +44,10 @@ from millrace.llm._session import shared_folder
 PACKED = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 MAGIC = 0x38425331
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
+
+
+_BITS = np.searchsorted(1 << np.arange(17), np.arange(1 << 16), "right").astype(np.uint8)
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -53,7 +57,11 @@ def pack(values: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     values = values.astype(np.uint64)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    bits = np.searchsorted(np.uint64(1) << np.arange(60, dtype=np.uint64), padded, "right").astype(np.uint8)
+    powers = np.uint64(1) << np.arange(60, dtype=np.uint64)
+    if values.max() < 1 << 16:
+        bits = _BITS[padded]
+    else:
+        bits = np.searchsorted(powers, padded, "right").astype(np.uint8)
     bits[padded >> np.uint64(60) > 0] = 64
     widest = {1: bits}
     selector = np.full(n, 14, np.uint8)
@@ -133,20 +141,48 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(words[:head], docs).astype(np.int64), unpack(words[head:], ids)
 
 
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _WIDE, _SPACE = range(6)
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58], _KIND[128:], _KIND[39], _KIND[~B.SPACED] = _DIGIT, _WIDE, _APOSTROPHE, _SPACE
+#: Pairs of neighbours between which the tokenizer always cuts; never beside what isn't ASCII, nor after an apostrophe.
+_CUT = np.zeros((6, 6), bool)
+_CUT[_DIGIT, [_LETTER, _DIGIT, _SIGN, _APOSTROPHE]] = _CUT[[_LETTER, _SIGN], _DIGIT] = True
+_CUT[_LETTER, [_SIGN, _APOSTROPHE]] = _CUT[_SIGN, _LETTER] = True
+#: Letters of which a piece is one unit for the model once it is lower case: composed, so normalization leaves them.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as itself if it prints, else as the next free code point from 256."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of whole texts, by way of the ids of their words."""
+    """Ids of whole texts, by way of the ids of their pieces."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id, self.letters = Tokenizer.from_file(path), end_id, _byte_letters()
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def ids_of(self, piece: str) -> list[int]:
+        if not _PLAIN.fullmatch(piece):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        piece = piece.lower()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return [x.id for x in self.model.tokenize(piece)]
+
     def rows(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Places in the cache of distinct words."""
         if len(self.known) > CACHE_WORDS:
@@ -155,8 +191,7 @@ class WordEncoder:
         new = [k for k, key in enumerate(keys) if key not in self.known]
         if new:
             raw = data.tobytes()
-            texts = [raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist())]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [self.ids_of(raw[s:e].decode()) for s, e in zip(starts[new].tolist(), ends[new].tolist())]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             at = len(self.pool) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
             self.known.update(zip([keys[k] for k in new], range(len(self.sizes), len(self.sizes) + len(new))))
@@ -166,8 +201,20 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Length and ids of every text, each with the end id."""
-        starts, ends, counts = B.spans(B.SPACED[data], offs)
-        distinct, at, which = np.unique(B.Hasher(data)(starts, ends), return_index=True, return_inverse=True)
+        kind = _KIND[data]
+        cuts = np.flatnonzero(_CUT.ravel().take(kind[:-1] * np.uint8(6) + kind[1:])) + 1
+        words, _, _ = B.spans(kind != _SPACE, offs)
+        bars = np.flatnonzero(data == 124)
+        if len(bars):  # words that may hold a special token's string stay whole and as they are
+            barred = np.unique(np.searchsorted(words, bars, "right"))
+            cuts = cuts[~np.isin(np.searchsorted(words, cuts, "right"), barred)]
+        starts, ends, counts = B.spans(kind != _SPACE, offs, cuts)
+        hashes = B.Hasher(data, lower=True)(starts, ends)
+        special = np.concatenate([[0], np.cumsum((kind == _WIDE) | (data == 124))])
+        cased = np.flatnonzero(special[ends] > special[starts])
+        if len(cased):
+            hashes[cased] = B.Hasher(data)(starts[cased], ends[cased])
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         word = self.rows(distinct, data, starts[at], ends[at])[which] if len(distinct) else np.zeros(0, np.int64)
         sizes = self.sizes[word]
         until = np.concatenate([[0], np.cumsum(sizes)])
