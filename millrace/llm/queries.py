@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, linededup, mixing, quality, tokens
+from millrace.llm import decontam, linededup, minhash, mixing, quality, tokens
 from millrace.llm._session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "clean_text")
 
@@ -46,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_line_dedup, op6_token_output, op7_decontamination, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_line_dedup, op6_token_output, op7_decontamination, op8_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
