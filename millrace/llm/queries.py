@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import decontam, linededup, minhash, mixing, quality, tokens
+from millrace.llm import decontam, linededup, minhash, mixing, ppm, quality, tokens
 from millrace.llm._session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; null ids: no."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part, F.lit(False))
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -50,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_line_dedup, op6_token_output, op7_decontamination, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_minhash_dedup, op3_line_dedup, op6_token_output, op7_decontamination, op8_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
