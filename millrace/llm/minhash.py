@@ -156,7 +156,8 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     """Pairs of a block's members with the bucket's queries of other components that agree."""
 
     def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return t["cls"].to_numpy(), t["comp"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(t.num_rows, BANDS * ROWS)
+        own, comp, sig = t.columns[-3:]
+        return own.to_numpy(), comp.to_numpy(), np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(t.num_rows, BANDS * ROWS)
 
     a, b = [], []
     if left.num_rows and right.num_rows:
@@ -220,8 +221,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     left = checkpointed(left.select("band", "cls", "comp", "main", "blocks", "sig"))
     if not left.isEmpty():
         spread = left.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).select("band", "block", "cls", "comp", "sig")
-        asking = left.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("band", "block", "cls", "comp", "sig")
-        met = spread.groupBy("band", "block").cogroup(asking.groupBy("band", "block")).applyInArrow(_meet, "a long, b long")
+        asking = left.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        asking = asking.select(*(F.col(c).alias(f"asking_{c}") for c in ("band", "block", "cls", "comp", "sig")))
+        met = spread.groupBy("band", "block").cogroup(asking.groupBy("asking_band", "asking_block")).applyInArrow(_meet, "a long, b long")
         last = checkpointed(verified(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
         if not last.isEmpty():
             parts = checkpointed(connected_components(links.unionAll(last), "a", "b"))
