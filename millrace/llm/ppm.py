@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from millrace.llm import _bytes as B
 from millrace.llm._session import checkpointed
 
-ORDER = 4
+ORDER = 5
 UNIT = 6 << 20
 END, SPACE = 10, 32
 GRAMS, WORDS, PAIRS, TEXTS, TOTALS = range(5)
@@ -108,12 +108,12 @@ class Unit:
         for k in range(ORDER):
             pads[begin + k] = True
         key = stream.astype(np.uint64)
-        for k in range(1, ORDER + 1):
+        for k in range(1, ORDER + 1):  # 6 bytes, and 2 for the text's number
             key[k:] |= stream[:-k].astype(np.uint64) << np.uint64(8 * k)
-        key = ((key << np.uint64(24)) | np.repeat(np.arange(n, dtype=np.uint64), size))[~pads]
+        key = ((key << np.uint64(16)) | np.repeat(np.arange(n, dtype=np.uint64), size))[~pads]
         key.sort()
-        self.key_doc = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
-        key >>= np.uint64(24)
+        self.key_doc = (key & np.uint64((1 << 16) - 1)).astype(np.int64)
+        key >>= np.uint64(16)
         new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
         self.key_first = np.flatnonzero(new)
         self.keys = key[new]
@@ -166,65 +166,90 @@ class Trie:
     """A bucket's part of the trie: contexts of order 2 and more, with those below."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
-        self.levels = {}
+        self.pairs, self.single = pairs, pairs.sum(axis=0)
         keys, counts = keys[counts > 0], counts[counts > 0]
+        #: Of each order: keys, their counts; contexts, their totals, numbers of symbols, first keys, and whether they are used.
+        self.levels: dict[int, list[np.ndarray]] = {}
         for k in range(ORDER, 1, -1):
             if k < ORDER:
-                keys, which = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                keys, which = np.unique(_last(keys, k + 1), return_inverse=True)
                 counts = np.bincount(which, weights=counts, minlength=len(keys)).astype(np.int64)
             context, first = np.unique(keys >> np.uint64(8), return_index=True)
             total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-            self.levels[k] = [keys, counts, context, total, np.diff(np.append(first, len(keys))), first]
-        self.pairs = pairs
-        single = pairs.sum(axis=0)
-        self.single, self.after = single, pairs.sum(axis=1)
-        self.kinds = (pairs > 0).sum(axis=1)
-        # sums over the symbols of a longer context of their counts at the next shorter one
-        self.shadow = {0: (pairs > 0) @ single}
-        for k in range(ORDER, 1, -1):
-            keys, _, context, _, _, first = self.levels[k]
-            below = self.count(keys, k - 1)
-            self.shadow[k - 1] = np.add.reduceat(below, first) if len(first) else np.zeros(0, np.int64)
+            self.levels[k] = [keys, counts, context, total, np.diff(np.append(first, len(keys))), first, np.ones(len(context), bool)]
+        #: What the symbols of a context of order k have together at order j < k.
+        self.shadow = {(1, 0): (pairs > 0) @ self.single}
+        for k, (keys, _, _, _, _, first, _) in self.levels.items():
+            for j in range(k):
+                self.shadow[k, j] = np.add.reduceat(self.count(keys, j), first) if len(first) else np.zeros(0, np.int64)
+        for k in range(2, ORDER + 1):
+            self.levels[k][-1] = self._worth(k)
+
+    def _worth(self, k: int) -> np.ndarray:
+        """Contexts of order k that would code their own symbols, each left out once,
+        shorter than the contexts below do; the others are passed over."""
+        keys, counts, context, total, kinds, first, _ = self.levels[k]
+        if not len(keys):
+            return np.zeros(0, bool)
+        size = np.diff(np.append(first, len(keys)))
+        below = self.log10(keys, k - 1)
+        p = 10.0**below
+        others = np.minimum(np.repeat(np.add.reduceat(p, first), size) - p, 1 - 1e-9)
+        n = np.maximum(np.repeat(total, size) - 1, 1)
+        again = counts * np.log10(np.maximum(2 * counts - 3, 1) / (2 * n))
+        novel = np.log10(np.maximum(np.repeat(kinds, size) - 1, 0.5) / (2 * n)) + below - np.log10(1 - others)
+        gain = np.where(counts > 1, again, novel) - counts * below
+        return (np.add.reduceat(gain, first) > 0) & (total > 1)
 
     def count(self, keys: np.ndarray, k: int) -> np.ndarray:
         """How often the last k + 1 bytes of each key stand in the training texts."""
         if k == 1:
-            return self.pairs[((keys >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)]
+            return self.pairs[_byte(keys, 1), _byte(keys, 0)]
         if k == 0:
-            return self.single[(keys & np.uint64(255)).astype(np.int64)]
+            return self.single[_byte(keys, 0)]
         known, counts = self.levels[k][:2]
-        return _found(known, keys & np.uint64((1 << 8 * (k + 1)) - 1), counts)[0]
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Of each key, the probability of its last byte after the bytes before."""
-        out, open_, escaped = np.zeros(len(keys)), np.ones(len(keys), bool), np.zeros(len(keys), bool)
-        shadow = kinds_above = np.zeros(len(keys), np.int64)
-        for k in range(ORDER, -1, -1):
+        return _found(known, _last(keys, k + 1), counts)[0]
+
+    def log10(self, keys: np.ndarray, top: int) -> np.ndarray:
+        """Of each key, the probability of its last byte after up to ``top`` bytes before."""
+        rows = len(keys)
+        out, open_ = np.zeros(rows), np.ones(rows, bool)
+        hidden = {k: np.zeros(rows, np.int64) for k in range(top)}
+        kinds_hidden = np.zeros(rows, np.int64)
+        for k in range(top, -1, -1):
             if k > 1:
-                _, _, context, total, kinds, _ = self.levels[k]
-                own, at = _found(context, (keys & np.uint64((1 << 8 * (k + 1)) - 1)) >> np.uint64(8), total)
-                n, d = own, np.where(own > 0, kinds[at] if len(kinds) else 0, 0)
-                next_shadow = np.where(own > 0, self.shadow[k - 1][at] if len(context) else 0, 0)
+                _, _, context, total, kinds, _, used = self.levels[k]
+                n, at = _found(context, _last(keys, k + 1) >> np.uint64(8), np.where(used, total, 0))
+                d = np.where(n > 0, kinds[at], 0) if len(context) else n
             elif k == 1:
-                before = ((keys >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-                n, d, next_shadow = self.after[before], self.kinds[before], self.shadow[0][before]
+                at = _byte(keys, 1)
+                n, d = self.pairs.sum(axis=1)[at], (self.pairs > 0).sum(axis=1)[at]
             else:
-                n, d = np.full(len(keys), self.single.sum()), np.full(len(keys), (self.single > 0).sum())
-            left, kinds_left = n - np.where(escaped, shadow, 0), d - np.where(escaped, kinds_above, 0)
-            use = open_ & (left > 0) & (kinds_left > 0)
+                n, d = np.full(rows, self.single.sum()), np.full(rows, (self.single > 0).sum())
+            left, kinds_left = n - hidden.get(k, 0), d - kinds_hidden
+            use = open_ & (n > 0) & (left > 0) & (kinds_left > 0)
             count = self.count(keys, k)
             hit, miss = use & (count > 0), use & (count == 0)
             out[hit] += np.log10((2 * count[hit] - 1) / (2 * left[hit]))
             out[miss] += np.log10(kinds_left[miss] / (2 * left[miss]))
             open_ &= ~hit
-            seen = n > 0
-            escaped |= seen
-            if k:
-                shadow, kinds_above = np.where(seen, next_shadow, shadow), np.where(seen, d, kinds_above)
+            seen = np.flatnonzero(n > 0)
+            kinds_hidden[seen] = d[seen]
+            for j in range(k):
+                if len(seen):
+                    hidden[j][seen] = self.shadow[k, j][at[seen]]
         out[open_] -= np.log10(max(1, 256 - int((self.single > 0).sum())))
         return out
 
 
+def _byte(keys: np.ndarray, back: int) -> np.ndarray:
+    return ((keys >> np.uint64(8 * back)) & np.uint64(255)).astype(np.int64)
+
+
+def _last(keys: np.ndarray, n: int) -> np.ndarray:
+    return keys & np.uint64((1 << 8 * n) - 1) if n < 8 else keys
+
+
 def _found(known: np.ndarray, asked: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of the keys asked for (0: not known) and their places."""
     if not len(known):
@@ -247,7 +272,7 @@ def _answerer(shared):
         if kind == GRAMS:
             pairs = np.zeros(65_536, np.int64)
             pairs[shared.value[0]] = shared.value[1]
-            values = Trie(keys, totals, pairs.reshape(256, 256)).log10(keys).astype(np.float32)
+            values = Trie(keys, totals, pairs.reshape(256, 256)).log10(keys, ORDER).astype(np.float32)
         else:
             values = totals
         cuts = np.cumsum([len(x) for x in asked])[:-1]
