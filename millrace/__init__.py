@@ -1,0 +1 @@
+"""Keyed relations, secondary indexes and equi-joins on Spark DataFrames."""
