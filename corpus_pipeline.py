@@ -1,2 +1,60 @@
-STAGES = []
+"""A training corpus from raw documents, stage by stage.
+
+Each stage takes the documents its predecessor kept and returns documents with the
+same columns; the last one returns the token ids' index.  ``run`` writes every
+stage's result as a table in the shared folder and reads it again, so a lost
+executor never costs more than a stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import decontam, minhash, mixing, tokens, toxicity
+from millrace.llm._session import checkpointed
+from millrace.llm.queries import held_out, table, word_tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity network rejects."""
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
+    return toxicity.reject(docs, network)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return minhash.keep_one(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without passages of the benchmark; the rest of each document stays."""
+    return decontam.remove_passages(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget takes it."""
+    return mixing.take(mixing.mix(docs))
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in Simple-8b blocks, and from them each document's place."""
+    return tokens.tokenize(docs, word_tokenizer())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", remove_benchmark),
+    ("source_mixing", mix_sources),
+    ("token_output", write_token_ids),
+]
+
+#: Trained models and tokenizers can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
