@@ -24,10 +24,15 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` read back from the folder that all executors share."""
-    _checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the folder that all executors share, and read back.
+
+    This cuts the lineage, and unlike ``checkpoint()`` the optimizer's constraints too,
+    which in loops grow with every round.
+    """
+    folder = shared_folder(df.sparkSession, "stage")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -22,7 +22,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     """
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     copies = right.withColumn("_salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))))
-    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")  # nothing here is broadcast: no side has a bound
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
