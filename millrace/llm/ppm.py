@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from millrace.llm import _bytes as B
 from millrace.llm._session import checkpointed
 
-ORDER = 5
-UNIT = 6 << 20
+ORDER = 5  # a key of 6 bytes is laid out for this
+UNIT = 4 << 20
 END, SPACE = 10, 32
 GRAMS, WORDS, PAIRS, TEXTS, TOTALS = range(5)
 _END_TOKEN = np.uint64(0xE4D0E4D0E4D0E4D1)
@@ -107,19 +107,23 @@ class Unit:
         pads = np.zeros(len(stream), bool)
         for k in range(ORDER):
             pads[begin + k] = True
-        key = stream.astype(np.uint64)
-        for k in range(1, ORDER + 1):  # 6 bytes, and 2 for the text's number
-            key[k:] |= stream[:-k].astype(np.uint64) << np.uint64(8 * k)
-        key = ((key << np.uint64(16)) | np.repeat(np.arange(n, dtype=np.uint64), size))[~pads]
+        two = stream.astype(np.uint16)
+        two[1:] |= two[:-1] << np.uint16(8)
+        key = two.astype(np.uint64)  # 6 bytes, and 2 for the text's number
+        key[2:] |= two[:-2].astype(np.uint64) << np.uint64(16)
+        key[4:] |= two[:-4].astype(np.uint64) << np.uint64(32)
+        key <<= np.uint64(16)
+        key |= np.repeat(np.arange(n, dtype=np.uint16), size)
+        key = key[~pads]
         key.sort()
-        self.key_doc = (key & np.uint64((1 << 16) - 1)).astype(np.int64)
+        self.key_doc = key.astype(np.uint16)
         key >>= np.uint64(16)
         new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
         self.key_first = np.flatnonzero(new)
         self.keys = key[new]
 
     def key_counts(self, train: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(train[self.key_doc].astype(np.int64), self.key_first) if len(self.keys) else np.zeros(0, np.int64)
+        return np.add.reduceat(train[self.key_doc], self.key_first, dtype=np.int64) if len(self.keys) else np.zeros(0, np.int64)
 
     def word_counts(self, train: np.ndarray) -> np.ndarray:
         return np.bincount(self.word_of, weights=train[self.token_doc], minlength=len(self.words)).astype(np.int64)
