@@ -246,3 +246,11 @@ def score(docs: DataFrame, net: Network | None, threshold: float = 0.7, text_col
     schema = T.StructType([*out.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in ADDED.items())])
     shared = docs.sparkSession.sparkContext.broadcast(net)
     return out.mapInArrow(_scorer(shared, text_col, schema.fieldNames(), threshold), schema)
+
+
+def reject(docs: DataFrame, net: Network | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without those whose score reaches the threshold, columns as they were."""
+    bare = docs.withColumn("_tox_text", F.col(text_col))
+    rows = bare.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_tox_row"), "_tox_text")
+    kept = score(rows, net, threshold, "_tox_text").filter(F.col("predicted") == 0)
+    return kept.select(*(F.col("_tox_row").getField(c).alias(c) for c in docs.columns))
