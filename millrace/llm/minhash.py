@@ -3,15 +3,17 @@
 1. Each document's distinct shingles (48-bit hashes) give its size, a 64-bit key of
    the whole set and ``BANDS * ROWS`` minima of universal hashes.
 2. Documents with equal sets are one class from here on, whatever their number.
-3. Each band's minima are a bucket key.  In every bucket one class, by an order
-   that differs between bands, is the hub; the others are its candidates.
+3. Each band's minima are a bucket key.  In every bucket the class that shares most
+   buckets with others, as the original of a group of copies does, is the hub; the
+   others are its candidates.
 4. Pairs are verified twice: by the share of equal minima, then exactly on the full
    sets.  First each class meets the hub that it shares most buckets with; pairs
    that these links have not yet connected follow.
 5. What is left are buckets whose members lie in several components.  There all
-   members meet those outside the bucket's largest component, in blocks, by their
-   minima, and what agrees is verified like the rest.  So every pair that shares a
-   bucket is connected or was compared: no cap on buckets, partners or candidates.
+   members meet those outside the bucket's largest component, in blocks: where minima
+   agree the sets are compared, each pair in the first band that it shares, and the
+   links found are verified like the rest.  So every pair that shares a bucket is connected or was
+   compared: no cap on buckets, partners or candidates.
 6. Links give components by large-star and small-star rounds.
 
 A pair of similarity 0.8 shares no bucket with probability 4e-7 and falls below
@@ -42,8 +44,6 @@ BLOCK = 1_000
 _GENERATOR = np.random.default_rng(77)
 _A = _GENERATOR.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _GENERATOR.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-#: Each band's order of classes: by id xor mask.
-_MASKS = _GENERATOR.integers(0, 1 << 62, BANDS).tolist()
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -109,19 +109,14 @@ def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 key = B.mix(key * np.uint64(31) + sigs[:, :, r] + np.uint64(1))
             key = (key & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)
-            prio = own[:, None] ^ np.array(_MASKS, np.int64)[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(prio.ravel()), pa.array(np.repeat(own, BANDS))], ["band", "prio", "cls"])
-
-
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(own, BANDS))], ["band", "cls"])
 
 
 def _same_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(_agree(x, y) >= MIN_AGREE))
+            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= MIN_AGREE))
 
 
 def _exact(width: int, percent: int):
@@ -152,22 +147,43 @@ def _exact(width: int, percent: int):
     return run
 
 
-def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of a block's members with the bucket's queries of other components that agree."""
+def _meet(percent: int):
+    """Links of a block's members with the bucket's queries of other components.
+
+    Pairs whose minima agree are compared here on their sets (as 32-bit hashes, with
+    a margin for collisions), each in the first band that it shares, so only pairs
+    that are links come out.
+    """
+
+    def read(t: pa.Table) -> tuple:
+        own, comp, sig, elems = t.columns[2:]
+        sets = [np.frombuffer(x, np.uint32) for x in elems.to_pylist()]
+        return own.to_numpy(), comp.to_numpy(), np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(t.num_rows, BANDS * ROWS), sets
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            (x, xc, xs, sets), (y, yc, ys, asked) = read(left), read(right)
+            before = left.column(0)[0].as_py() & 31
+            sizes, flat = np.array([len(e) for e in sets]), np.concatenate(sets)
+            first = np.cumsum(sizes) - sizes
+            for k in range(len(y)):
+                same = xs == ys[k]
+                near = np.flatnonzero((xc != yc[k]) & (same.mean(axis=1) >= MIN_AGREE))
+                near = near[~same[near, : before * ROWS].reshape(len(near), before, ROWS).all(axis=2).any(axis=1)]
+                if not len(near):
+                    continue
+                many, own = sizes[near], asked[k]
+                own_first = np.cumsum(many) - many
+                e = flat[np.repeat(first[near] - own_first, many) + np.arange(int(many.sum()))]
+                at = np.minimum(np.searchsorted(own, e), len(own) - 1)
+                both = np.add.reduceat((own[at] == e).astype(np.int64), own_first)
+                linked = near[100 * both + 200 >= percent * (many + len(own) - both)]
+                a.append(x[linked])
+                b.append(np.full(len(linked), y[k]))
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own, comp, sig = t.columns[-3:]
-        return own.to_numpy(), comp.to_numpy(), np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(t.num_rows, BANDS * ROWS)
-
-    a, b = [], []
-    if left.num_rows and right.num_rows:
-        (x, xc, xs), (y, yc, ys) = read(left), read(right)
-        for k in range(len(y)):
-            near = np.flatnonzero((xc != yc[k]) & (_agree(xs, ys[k]) >= MIN_AGREE))
-            a.append(x[near])
-            b.append(np.full(len(near), y[k]))
-    flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
-    return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,17 +194,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     known = signed.filter(F.col("doc_id").isNotNull() & F.col("sig").isNotNull())
     classes = checkpointed(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
 
-    bands = classes.select("cls", "sig").mapInArrow(_bander, "band long, prio long, cls long")
-    mask = F.element_at(F.array(*(F.lit(m) for m in _MASKS)), (F.col("band").bitwiseAND(31) + 1).cast("int"))
-    hubs = bands.groupBy("band").agg(F.min("prio").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    members = checkpointed(salted_join(bands, hubs.select("band", "n", F.col("least").bitwiseXOR(mask).alias("hub")), ["band"], "cls").drop("prio"))
+    bands = classes.select("cls", "sig").mapInArrow(_bander, "band long, cls long")
+    crowds = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = checkpointed(salted_join(bands, crowds, ["band"], "cls"))
+    central = shared.groupBy("cls").agg(F.sum("n").alias("central"))
+    ranked = shared.join(central, "cls")
+    hubs = ranked.groupBy("band").agg(F.max_by("cls", F.struct("central", "cls")).alias("hub"))
+    members = checkpointed(salted_join(shared, hubs, ["band"], "cls"))
     stars = members.filter("cls <> hub").groupBy(F.col("cls").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
     stars = checkpointed(stars.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))))
 
     candidates = members.select("cls").distinct()
     sigs = checkpointed(classes.join(candidates, "cls", "left_semi").select("cls", "rep", "sig"))
-    texts = rows.join(sigs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_keyer(shingle), "cls long, text string")
-    texts = checkpointed(texts.groupBy("cls").agg(F.first("text").alias("text")))
+    texts = rows.join(sigs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_keyer(shingle), "cls long, text string, elems binary")
+    texts = checkpointed(texts.groupBy("cls").agg(F.first(F.struct("text", "elems")).alias("x")).select("cls", "x.text", "x.elems"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
@@ -217,13 +236,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     by_part = placed.groupBy("band", "comp").agg(F.count("*").alias("k"))
     mixed = by_part.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("size")).filter("parts > 1")
     blocks = F.ceil(F.col("size") / BLOCK)
-    left = placed.join(mixed.select("band", F.col("top.comp").alias("main"), blocks.alias("blocks")), "band").join(sigs.select("cls", "sig"), "cls")
-    left = checkpointed(left.select("band", "cls", "comp", "main", "blocks", "sig"))
+    left = placed.join(mixed.select("band", F.col("top.comp").alias("main"), blocks.alias("blocks")), "band")
+    left = checkpointed(left.select("band", "cls", "comp", "main", "blocks"))
     if not left.isEmpty():
-        spread = left.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).select("band", "block", "cls", "comp", "sig")
-        asking = left.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        asking = asking.select(*(F.col(c).alias(f"asking_{c}") for c in ("band", "block", "cls", "comp", "sig")))
-        met = spread.groupBy("band", "block").cogroup(asking.groupBy("asking_band", "asking_block")).applyInArrow(_meet, "a long, b long")
+        whole_left = left.join(sigs.select("cls", "sig"), "cls").join(texts.select("cls", "elems"), "cls")
+        spread = whole_left.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).select("band", "block", "cls", "comp", "sig", "elems")
+        asking = whole_left.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        asking = asking.select(*(F.col(c).alias(f"asking_{c}") for c in ("band", "block", "cls", "comp", "sig", "elems")))
+        met = spread.groupBy("band", "block").cogroup(asking.groupBy("asking_band", "asking_block")).applyInArrow(_meet(percent), "a long, b long")
         last = checkpointed(verified(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
         if not last.isEmpty():
             parts = checkpointed(connected_components(links.unionAll(last), "a", "b"))
@@ -241,7 +261,8 @@ def _keyer(width: int):
         for batch in batches:
             for lo, hi, data, offs in B.text_chunks(batch.column(1)):
                 elements, sizes = shingle_sets(data, offs, width)
-                out = pa.RecordBatch.from_arrays([pa.array(set_keys(elements, sizes)), batch.column(1).slice(lo, hi - lo)], ["cls", "text"])
+                short = [np.unique(x.astype(np.uint32)).tobytes() for x in np.split(elements, np.cumsum(sizes)[:-1])]
+                out = pa.RecordBatch.from_arrays([pa.array(set_keys(elements, sizes)), batch.column(1).slice(lo, hi - lo), pa.array(short, pa.binary())], ["cls", "text", "elems"])
                 yield out.filter(pa.array(sizes > 0))
 
     return run
