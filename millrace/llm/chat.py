@@ -28,23 +28,31 @@ from millrace.llm.template import compile_template
 PART = 1 << 20
 #: Every control string begins with one of the first two; the backslash marks an escape.
 _ESCAPE = str.maketrans({"<": "\\l", "[": "\\s", "\\": "\\b"})
-_PLAIN = {"\\l": "<", "\\s": "[", "\\b": "\\"}
+_PLAIN = {"\\l": "<", "\\s": "[", "\\b": "\\", "\\g": ">"}
 TEMPLATE = (
     "{% for m in messages %}"
     "{% if m.role == 'user' %}[INST] {{ m.text | escape }} [/INST]"
     "{% elif m.role == 'assistant' %}<s>{% generation %}{{ m.text | escape }}{% endgeneration %}</s>"
-    "{% else %}<<{{ m.role | escape }}>>\n{{ m.text | escape }}\n<</>>{% endif %}"
+    "{% else %}<<{{ m.role | escape_role }}>>\n{{ m.text | escape }}\n<</>>{% endif %}"
     "{% endfor %}"
 )
-_TURN = re.compile(r"\[INST\] (?P<user>[^\[<]*) \[/INST\]|<s>(?P<assistant>[^\[<]*)</s>|<<(?P<role>(?:[^<>]|>(?!>))*)>>\n(?P<text>[^\[<]*)\n<</>>")
+_TURN = re.compile(r"\[INST\] (?P<user>[^\[<]*) \[/INST\]|<s>(?P<assistant>[^\[<]*)</s>|<<(?P<role>[^\[<>]*)>>\n(?P<text>[^\[<]*)\n<</>>")
 
 
 def escape(text: str) -> str:
     return text.translate(_ESCAPE)
 
 
+def escape_role(role: str) -> str:
+    """As ``escape``; a role ends at an angle bracket, so it holds none of the other kind either."""
+    return escape(role).replace(">", "\\g")
+
+
+FILTERS = {"escape": lambda x: escape(x or ""), "escape_role": lambda x: escape_role(x or "")}
+
+
 def unescape(text: str) -> str:
-    return re.sub(r"\\[lsb]", lambda m: _PLAIN[m[0]], text)
+    return re.sub(r"\\[lsbg]", lambda m: _PLAIN[m[0]], text)
 
 
 def turns_of(pieces: Iterator[str]) -> Iterator[tuple[str, str]]:
@@ -56,8 +64,6 @@ def turns_of(pieces: Iterator[str]) -> Iterator[tuple[str, str]]:
             continue
         at = 0
         while m := _TURN.match(held, at):
-            if m.end() == len(held) and m["role"] is None and not held.endswith(("[/INST]", "</s>")):
-                break
             yield (unescape(m["role"]), unescape(m["text"])) if m["role"] is not None else next((k, unescape(v)) for k, v in m.groupdict().items() if v is not None)
             at = m.end()
         held = held[at:]
@@ -75,7 +81,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _formatter(template: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        write = compile_template(template, {"escape": lambda x: escape(x or "")})
+        write = compile_template(template, FILTERS)
         ready: list[tuple] = []
         size = 0
 
@@ -154,7 +160,7 @@ CHAT_SQL = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e as (select *, length(text) + length(text) - length(regexp_replace(text, '[\\<\[]', '', 'g')) as n, length(role) + length(role) - length(regexp_replace(role, '[\\<\[]', '', 'g')) as r from c)
+e as (select *, length(text) + length(text) - length(regexp_replace(text, '[\\<\[]', '', 'g')) as n, length(role) + length(role) - length(regexp_replace(role, '[\\<>\[]', '', 'g')) as r from c)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
