@@ -33,7 +33,7 @@ from millrace.llm import _bytes as B
 from millrace.llm._session import checkpointed
 from millrace.llm._suffix import suffix_order
 
-SHARD = 6 << 20
+SHARD = 3 << 20
 SAMPLE = 8
 ADDED = {"n_words": "long", "hits": "array<struct<start:int,end:int>>", "items": "array<string>"}
 
@@ -231,10 +231,12 @@ def remove_passages(docs: DataFrame, items: DataFrame, text_col: str = "text", *
     Documents of which no word is left go; all others stay, untouched where
     nothing was found.
     """
-    found = find_passages(docs, items, text_col=text_col, **options)
-    cut = found.mapInArrow(_cutter(text_col, found.columns), found.schema)
-    left = (F.size("hits") == 0) | (F.regexp_replace(F.lower(text_col), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "") != "")
-    return cut.filter(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_dc_rest") if rest else F.lit(None).alias("_dc_rest"), F.col(text_col).alias("_dc_text"))
+    found = find_passages(rows, items, text_col="_dc_text", **options)
+    cut = found.mapInArrow(_cutter("_dc_text", found.columns), found.schema)
+    left = (F.size("hits") == 0) | (F.regexp_replace(F.lower("_dc_text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "") != "")
+    return cut.filter(left).select(*(F.col("_dc_text").alias(c) if c == text_col else F.col("_dc_rest").getField(c).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
