@@ -8,12 +8,15 @@ is made for a word.  A null text is an empty text.  Memory is a constant times
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 3 << 20
+CACHED_POWERS = 4 << 20
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -61,6 +64,14 @@ def text_chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarr
     data, offs = string_buffers(column)
     for lo, hi in chunks(offs, limit):
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def spans(is_word: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +103,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(max(n, 1 << 20), _R_INV if inverse else _R, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if len(have) <= 4 * CHUNK:
+        if len(have) <= CACHED_POWERS:
             _POWERS[key] = have
     return have[:n]
 

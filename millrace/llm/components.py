@@ -34,17 +34,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         linked = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         linked = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return linked.filter("u <> v").distinct()
+    return linked.filter("u <> v")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex either has one edge down and none up, or only edges up."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    wrong = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)")
+    return wrong.isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(vertex, component) of all vertices with an edge; a component is its least vertex."""
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    now, before = checkpointed(now), None
-    while True:
-        now = checkpointed(_star(_star(now, large=True), large=False))
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == before or not state[0]:
-            break
-        before = state
+    """(vertex, component) of all vertices with an edge; a component is its least vertex.
+
+    The rounds end when the edges are stars around the components' least vertices.
+    """
+    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
+    while not _are_stars(now):
+        now = checkpointed(_star(_star(now, large=True), large=False).distinct())
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())

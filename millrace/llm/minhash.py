@@ -7,8 +7,7 @@
    buckets with others, as the original of a group of copies does, is the hub; the
    others are its candidates.
 4. Pairs are verified twice: by the share of equal minima, then exactly on the full
-   sets.  First each class meets the hub that it shares most buckets with; pairs
-   that these links have not yet connected follow.
+   sets.
 5. What is left are buckets whose members lie in several components.  There all
    members meet those outside the bucket's largest component, in blocks: where minima
    agree the sets are compared, each pair in the first band that it shares, and the
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _bytes as B
@@ -112,17 +111,14 @@ def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(own, BANDS))], ["band", "cls"])
 
 
-def _same_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= MIN_AGREE))
-
-
 def _exact(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (4, 5))
+            batch = batch.filter(pa.array((x == y).mean(axis=1) >= MIN_AGREE))
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -201,37 +197,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     ranked = shared.join(central, "cls")
     hubs = ranked.groupBy("band").agg(F.max_by("cls", F.struct("central", "cls")).alias("hub"))
     members = checkpointed(salted_join(shared, hubs, ["band"], "cls"))
-    stars = members.filter("cls <> hub").groupBy(F.col("cls").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
-    stars = checkpointed(stars.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))))
+    stars = members.filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
 
-    candidates = members.select("cls").distinct()
-    sigs = checkpointed(classes.join(candidates, "cls", "left_semi").select("cls", "rep", "sig"))
-    texts = rows.join(sigs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_keyer(shingle), "cls long, text string, elems binary")
-    texts = checkpointed(texts.groupBy("cls").agg(F.first(F.struct("text", "elems")).alias("x")).select("cls", "x.text", "x.elems"))
+    candidates = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "sig")
+    texts = rows.join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_keyer(shingle), "cls long, text string, elems binary")
+    texts = texts.groupBy("cls").agg(F.first(F.struct("text", "elems")).alias("x")).select("cls", "x.text", "x.elems")
+    known_texts = checkpointed(candidates.select("cls", "sig").join(texts, "cls"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
-            pairs = pairs.join(sigs.select(F.col("cls").alias(end), F.col("sig").alias(f"sig_{end}")), end)
-        pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_same_minima, "a long, b long")
-        for end in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("cls").alias(end), F.col("text").alias(f"text_{end}")), end)
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_exact(shingle, percent), "a long, b long")
-
-    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = salted_join(pairs, parts.select(F.col("vertex").alias(end), F.col("component").alias(f"in_{end}")), [end], "b" if end == "a" else "a", "left")
-        return pairs.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+            pairs = pairs.join(known_texts.select(F.col("cls").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("text").alias(f"text_{end}")), end)
+        return pairs.select("a", "b", "text_a", "text_b", "sig_a", "sig_b").mapInArrow(_exact(shingle, percent), "a long, b long")
 
     shared_ids = known.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("top")).filter("b <> top")
     links = known.join(shared_ids, "doc_id").filter("cls <> b").select(F.col("cls").alias("a"), "b")
-    links = checkpointed(links.unionAll(verified(stars.filter("turn = 1").select("a", "b"))))
+    links = checkpointed(links.unionAll(verified(stars)))
     parts = checkpointed(connected_components(links, "a", "b"))
 
-    more = checkpointed(verified(apart(stars.filter("turn > 1").select("a", "b"), parts)))
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        parts = checkpointed(connected_components(links, "a", "b"))
-
     placed = salted_join(members.filter("n > 2"), parts.withColumnRenamed("vertex", "cls").withColumnRenamed("component", "comp"), ["cls"], "band", "left").withColumn("comp", F.coalesce("comp", "cls"))
     by_part = placed.groupBy("band", "comp").agg(F.count("*").alias("k"))
     mixed = by_part.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("size")).filter("parts > 1")
@@ -239,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     left = placed.join(mixed.select("band", F.col("top.comp").alias("main"), blocks.alias("blocks")), "band")
     left = checkpointed(left.select("band", "cls", "comp", "main", "blocks"))
     if not left.isEmpty():
-        whole_left = left.join(sigs.select("cls", "sig"), "cls").join(texts.select("cls", "elems"), "cls")
+        whole_left = left.join(known_texts.select("cls", "sig", "elems"), "cls")
         spread = whole_left.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).select("band", "block", "cls", "comp", "sig", "elems")
         asking = whole_left.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         asking = asking.select(*(F.col(c).alias(f"asking_{c}") for c in ("band", "block", "cls", "comp", "sig", "elems")))
