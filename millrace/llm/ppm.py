@@ -42,7 +42,7 @@ from millrace.llm import _bytes as B
 from millrace.llm._session import checkpointed
 
 ORDER = 5  # a key of 6 bytes is laid out for this
-UNIT = 4 << 20
+UNIT = 7 << 19
 END, SPACE = 10, 32
 GRAMS, WORDS, PAIRS, TEXTS, TOTALS = range(5)
 _END_TOKEN = np.uint64(0xE4D0E4D0E4D0E4D1)

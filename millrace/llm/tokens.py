@@ -44,7 +44,7 @@ from millrace.llm._session import shared_folder
 PACKED = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 MAGIC = 0x38425331
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 _BITS = np.searchsorted(1 << np.arange(17), np.arange(1 << 16), "right").astype(np.uint8)
@@ -183,21 +183,26 @@ class WordEncoder:
             piece = piece.encode().decode("latin-1").translate(self.letters)
         return [x.id for x in self.model.tokenize(piece)]
 
-    def rows(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Places in the cache of distinct words."""
+    def rows(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Places in the cache of distinct pieces; ``letters``: those of ASCII letters only."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        keys = hashes.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
+        keys, known = hashes.tolist(), self.known
+        new = [k for k, key in enumerate(keys) if key not in known]
         if new:
-            raw = data.tobytes()
-            ids = [self.ids_of(raw[s:e].decode()) for s, e in zip(starts[new].tolist(), ends[new].tolist())]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            at = len(self.pool) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.known.update(zip([keys[k] for k in new], range(len(self.sizes), len(self.sizes) + len(new))))
-            self.starts, self.sizes = np.concatenate([self.starts, at]), np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+            raw, low, tokenize, of = data.tobytes(), B.LOWER[data].tobytes(), self.model.tokenize, self.ids_of
+            flat: list[int] = []
+            sizes = []
+            for s, e, plain in zip(starts[new].tolist(), ends[new].tolist(), letters[new].tolist()):
+                ids = [x.id for x in tokenize(low[s:e].decode())] if plain else of(raw[s:e].decode())
+                flat += ids
+                sizes.append(len(ids))
+            size = np.array(sizes, np.int64)
+            at = len(self.pool) + np.cumsum(size) - size
+            known.update(zip([keys[k] for k in new], range(len(self.sizes), len(self.sizes) + len(new))))
+            self.starts, self.sizes = np.concatenate([self.starts, at]), np.concatenate([self.sizes, size])
+            self.pool = np.concatenate([self.pool, np.array(flat, np.uint32)])
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Length and ids of every text, each with the end id."""
@@ -215,7 +220,9 @@ class WordEncoder:
         if len(cased):
             hashes[cased] = B.Hasher(data)(starts[cased], ends[cased])
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        word = self.rows(distinct, data, starts[at], ends[at])[which] if len(distinct) else np.zeros(0, np.int64)
+        at_start, at_end = starts[at], ends[at]
+        letters = (kind[at_start] == _LETTER) & (special[at_end] == special[at_start])
+        word = self.rows(distinct, data, at_start, at_end, letters)[which] if len(distinct) else np.zeros(0, np.int64)
         sizes = self.sizes[word]
         until = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.starts[word] - until[:-1], sizes) + np.arange(int(until[-1]))]
