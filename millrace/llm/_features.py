@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import _bytes as B
 
@@ -25,15 +26,40 @@ class Words:
         inner = np.repeat(begin + 1 - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         padded[inner] = self.data[np.repeat(self.at - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
         padded[begin + length + 1] = 36
-        hasher, parts, owners = B.Hasher(padded), [], []
-        for n in sizes:
-            many = np.maximum(length + 3 - n, 0)
-            first = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            parts.append((hasher(first, first + n) % np.uint64(tables)).astype(np.int64))
-            owners.append(B.row_of(many))
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate(parts)[order], np.bincount(owner, minlength=len(length))
+        hasher = B.Hasher(padded)
+        each = [np.maximum(length + 3 - n, 0) for n in sizes]
+        total = sum(each)
+        out, place = np.empty(int(total.sum()), np.int32), np.cumsum(total) - total
+        for n, many in zip(sizes, each):
+            turn = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            first = np.repeat(begin, many) + turn
+            out[np.repeat(place, many) + turn] = hasher(first, first + n) % np.uint64(tables)
+            place = place + many
+        return out, total
+
+    @classmethod
+    def of(cls, texts: list[str], limit: int = 1 << 20) -> Words:
+        """Words of texts of any total size; only the distinct ones' bytes are kept."""
+        self = cls.__new__(cls)
+        ids: dict[int, int] = {}
+        counts, which, pieces, sizes = [], [], [], []
+        for _, _, data, offs in B.text_chunks(pa.array(texts, pa.string()), limit):
+            part = cls(data, offs)
+            raw = part.data.tobytes()
+            for key, a, b in zip(part.keys.tolist(), part.at.tolist(), part.until.tolist()):
+                if key not in ids:
+                    ids[key] = len(ids)
+                    pieces.append(raw[a:b])
+                    sizes.append(b - a)
+            which.append(np.fromiter((ids[k] for k in part.keys.tolist()), np.int32, len(part.keys))[part.which])
+            counts.append(part.counts)
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.until = np.cumsum(np.array(sizes, np.int64))
+        self.at = self.until - np.array(sizes, np.int64)
+        self.keys = np.fromiter(ids, np.uint64, len(ids))
+        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.which = np.concatenate(which) if which else np.zeros(0, np.int32)
+        return self
 
 
 def sum_rows(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -6,11 +6,12 @@ before, run through gated recurrent units in both directions; attention pools th
 states and a logistic unit gives the window's score.  A text's score is its highest
 window's, and every window of the whole text is scored.
 
-``fit`` trains on at most ``max_rows`` labelled documents of each label, chosen by a
+``fit`` trains on at most ``max_rows`` labelled documents (clean, toxic), chosen by a
 hash of their ids.  First the vectors' leading component is set from the features'
 log-odds in the sample; then all weights are trained by Adam on the windows that
 score highest (of clean texts, the most toxic-looking and a random one), which are
-chosen anew in every epoch.
+chosen anew in every epoch.  A tenth of the sample teaches nothing but the last
+bias, which is set where it parts toxic from clean texts best.
 
 Defined results: a null text, or one without a letter or digit, scores 0; without a
 row of both labels to learn from every score is 0; a document with several labels
@@ -36,6 +37,7 @@ TABLE = 1 << 15
 SIZES = (3, 4, 5)
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 BATCH = 4096
+THRESHOLD = 0.7
 ADDED = {"score": "double", "predicted": "int"}
 
 
@@ -70,7 +72,12 @@ class Network:
     def inputs(self, words: Words) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         grams, many = words.ngrams(SIZES, TABLE)
         own = (words.keys % np.uint64(TABLE)).astype(np.int64)
-        return self.p["word"][own] + sum_rows(self.p["char"][grams], many) / np.maximum(many, 1)[:, None].astype(np.float32), (own, grams, many)
+        x, until = self.p["word"][own], np.cumsum(many)
+        for a in range(0, len(own), 8192):
+            size = many[a : a + 8192]
+            part = grams[until[a] - many[a] : until[a + len(size) - 1]]
+            x[a : a + len(size)] += sum_rows(self.p["char"][part], size) / np.maximum(size, 1)[:, None].astype(np.float32)
+        return x, (own, grams, many)
 
     def run(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of windows of rows of x; -1 stands for no word."""
@@ -160,40 +167,62 @@ class Network:
         return out
 
 
-def _log_odds(doc: np.ndarray, feature: np.ndarray, label: np.ndarray) -> np.ndarray:
-    pair = np.unique(doc * TABLE + feature)
-    d, f = pair // TABLE, pair % TABLE
-    toxic = np.bincount(f, weights=label[d], minlength=TABLE)
-    clean = np.bincount(f, weights=1 - label[d], minlength=TABLE)
-    odds = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((clean + 0.5) / ((1 - label).sum() + 1))
+def _log_odds(pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Shrunk log-odds of each feature in the documents to use, from blocks of
+    (document, feature) pairs, a document in one block."""
+    is_toxic, is_clean = label * use, (1 - label) * use
+    toxic, clean = np.zeros(TABLE), np.zeros(TABLE)
+    for doc, feature in pairs:
+        pair = np.unique(doc * TABLE + feature)
+        d, f = pair // TABLE, pair % TABLE
+        toxic += np.bincount(f, weights=is_toxic[d], minlength=TABLE)
+        clean += np.bincount(f, weights=is_clean[d], minlength=TABLE)
+    odds = np.log((toxic + 0.5) / (is_toxic.sum() + 1)) - np.log((clean + 0.5) / (is_clean.sum() + 1))
     seen = toxic + clean
     return np.clip(odds * seen / (seen + 5), -4, 4)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5) -> Network | None:
+def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, check_every: int = 10) -> Network | None:
     """A network for labelled texts; None without both labels."""
     label = np.array(labels, np.float64)
     if not len(label) or label.min() == label.max():
         return None
     net, g = Network(seed), np.random.default_rng(seed)
-    words = Words(*B.string_buffers(pa.array(texts, pa.string())))
-    x, made_of = net.inputs(words)
+    check = np.arange(len(label)) % max(1, check_every) == 0
+    if not check_every or not 0 < label[check].sum() < check.sum() or not 0 < label[~check].sum() < (~check).sum():
+        check = np.zeros(len(label), bool)
+    words = Words.of(texts)
+    _, made_of = net.inputs(words)
     own, grams, many = made_of
-    doc = B.row_of(words.counts)
-    seen = np.unique(doc * len(own) + words.which)
-    d, u = seen // len(own), seen % len(own)
-    net.p["word"][:, 0] += _log_odds(d, own[u], label) / 2
     first = np.cumsum(many) - many
-    places = np.repeat(first[u] - (np.cumsum(many[u]) - many[u]), many[u]) + np.arange(int(many[u].sum()))
-    net.p["char"][:, 0] += _log_odds(np.repeat(d, many[u]), grams[places], label)
+    until = np.cumsum(words.counts)
+
+    def blocks(chars: bool, size: int = 100) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(texts), size):
+            counts = words.counts[a : a + size]
+            seen = np.unique((B.row_of(counts) + a) * len(own) + words.which[until[a] - words.counts[a] : until[min(a + size, len(texts)) - 1]])
+            d, u = seen // len(own), seen % len(own)
+            if chars:
+                yield np.repeat(d, many[u]), grams[np.repeat(first[u] - (np.cumsum(many[u]) - many[u]), many[u]) + np.arange(int(many[u].sum()))]
+            else:
+                yield d, own[u]
+
+    net.p["word"][:, 0] += _log_odds(blocks(False), label, ~check) / 2
+    net.p["char"][:, 0] += _log_odds(blocks(True), label, ~check)
     index, owner = windows(words.counts)
-    index = np.where(index >= 0, words.which[index], -1)
+    index = np.where(index >= 0, words.which[index], -1).astype(np.int32)
+
+    def logits() -> tuple[np.ndarray, np.ndarray]:
+        x, _ = net.inputs(words)
+        every = np.concatenate([net.run(x, index[a : a + BATCH]) for a in range(0, len(index), BATCH)])
+        best = np.lexsort((-every, owner))
+        return every, best[np.append(True, owner[best][1:] != owner[best][:-1])]
+
+    teach = ~check[owner]
     for epoch in range(epochs):
-        x, made_of = net.inputs(words)
-        logit = np.concatenate([net.run(x, index[a : a + BATCH]) for a in range(0, len(index), BATCH)])
-        best = np.lexsort((-logit, owner))
-        best = best[np.append(True, owner[best][1:] != owner[best][:-1])]
-        extra = g.permutation(np.flatnonzero(label[owner] == 0))[: len(best)]
+        _, best = logits()
+        best = best[teach[best]]
+        extra = g.permutation(np.flatnonzero((label[owner] == 0) & teach))[: len(best)]
         chosen = g.permutation(np.concatenate([best, extra]))
         for a in range(0, len(chosen), 128):
             part = chosen[a : a + 128]
@@ -205,23 +234,38 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5) -
             local = (own[used], grams[sub], sub_many)
             xs = net.p["word"][local[0]] + sum_rows(net.p["char"][local[1]], sub_many) / np.maximum(sub_many, 1)[:, None].astype(np.float32)
             net.learn(xs, local, back, label[owner[part]], 0.01 if epoch < epochs - 2 else 0.003)
+    every, best = logits()
+    best = best[check[owner[best]]]
+    if len(best):
+        net.p["c"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(every[best], label[owner[best]]))
     net.moments = {}
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """Up to ``max_rows`` labelled texts of each label, the first by a hash of the id."""
+def _cut(logit: np.ndarray, label: np.ndarray) -> float:
+    """Where toxic and clean texts part best, a clean text rejected counting as three
+    toxic ones kept; of equal places the middle one."""
+    order = np.argsort(logit)
+    logit, label = logit[order], label[order]
+    places = np.concatenate([[logit[0] - 1], (logit[1:] + logit[:-1]) / 2, [logit[-1] + 1]])
+    cost = np.concatenate([[0], np.cumsum(label)]) + 3 * ((1 - label).sum() - np.concatenate([[0], np.cumsum(1 - label)]))
+    least = np.flatnonzero(cost == cost.min())
+    return float((places[least[0]] + places[least[-1]]) / 2)
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
+    """Up to ``max_rows`` labelled texts (clean, toxic), the first by a hash of the id."""
     told = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learn).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_label"))
     chosen = None
     for value in (0, 1):
-        part = told.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+        part = told.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(max_rows[value])
         chosen = part if chosen is None else chosen.unionAll(part)
-    # at most 2 * max_rows ids and numbers: a bound for the broadcast
+    # at most sum(max_rows) ids and numbers: a bound for the broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
     return [(r._text or "", r._label) for r in rows.orderBy(F.xxhash64("_id"), "_id").toLocalIterator()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 2_000, epochs: int = 6, **names) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: tuple[int, int] = (2_000, 1_400), epochs: int = 6, **names) -> Network | None:
     """Trains on the documents for which ``learn`` (over the id) holds."""
     rows = sample(docs, labels, learn, max_rows, **names)
     return train([t for t, _ in rows], [y for _, y in rows], epochs)
@@ -240,7 +284,7 @@ def _scorer(shared, text_col: str, names: list[str], threshold: float):
     return run
 
 
-def score(docs: DataFrame, net: Network | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with score and predicted.  The network has a fixed size (2 MB)."""
     out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED))
     schema = T.StructType([*out.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in ADDED.items())])
@@ -248,7 +292,7 @@ def score(docs: DataFrame, net: Network | None, threshold: float = 0.7, text_col
     return out.mapInArrow(_scorer(shared, text_col, schema.fieldNames(), threshold), schema)
 
 
-def reject(docs: DataFrame, net: Network | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def reject(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` without those whose score reaches the threshold, columns as they were."""
     bare = docs.withColumn("_tox_text", F.col(text_col))
     rows = bare.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_tox_row"), "_tox_text")
