@@ -32,7 +32,10 @@ BATCH_ROWS = 1 << 16
 
 
 def _local(path: str) -> Path:
-    return Path(path.removeprefix("file://").removeprefix("file:"))
+    plain = path.removeprefix("file://").removeprefix("file:")
+    if ":/" in plain:
+        raise ValueError(f"{path} isn't on a mounted file system; read_records reads it")
+    return Path(plain)
 
 
 def _files(path: str) -> list[Path]:
