@@ -10,7 +10,8 @@ operations only:
 2. a line whose estimate is clear of ``min_sites`` by more than ``slack`` is
    decided by it; for the lines in between distinct sites are counted exactly;
 3. each document's boilerplate lines are gathered as hashes and taken out of its
-   text, so the text is exchanged once and lines never are.
+   text, so the text is exchanged once and lines never are.  A very common line
+   meets the boilerplate set over salted keys.
 
 Defined results: a null text stays null and an empty one empty; lines without a
 word are never counted or removed; a null site is one more site; repeats of a line
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.components import salted_join
+
 ADDED = ("n_lines", "n_removed", "clean_text")
 
 
@@ -40,7 +43,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 4, lg_k: int = 10, slack: floa
     lines = docs.select(F.explode(hashes).alias("line"), F.coalesce(F.concat(F.lit("s"), F.col(site_col)), F.lit("")).alias("site"))
     spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).filter(F.col("sites") >= min_sites * (1 - slack))
     near = spread.filter(F.col("sites") <= min_sites * (1 + slack)).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    exact = salted_join(lines, near, ["line"], "site", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return spread.filter(F.col("sites") > min_sites * (1 + slack)).select("line").unionAll(exact.select("line"))
 
 
@@ -50,7 +53,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 4, lg_k: int = 10, slack: floa
     own = F.xxhash64(F.col(id_col), F.col(text_col))
     bad = boilerplate(docs, min_sites, lg_k, slack, text_col, site_col)
     each = docs.select(own.alias("_ld_row"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), _has_word), lambda x: F.xxhash64(x)))).alias("line")).distinct()
-    gone = each.join(bad, "line").groupBy("_ld_row").agg(F.collect_set("line").alias("_ld_gone"))
+    gone = salted_join(each, bad, ["line"], "_ld_row").groupBy("_ld_row").agg(F.collect_set("line").alias("_ld_gone"))
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), own.alias("_ld_row")).join(gone, "_ld_row", "left")
     lines = _lines(F.col(text_col))
     stays = F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.col("_ld_gone"), F.xxhash64(x))))
