@@ -35,6 +35,8 @@ SIZES = (1, 2, 3)
 AFFIXES = (2, 3, 4)
 RUN = 24
 UNKNOWN = "und"
+#: Chosen ids are broadcast up to so many; with more languages than that allows they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 ADDED = {"lang_pred": "string", "score": "double"}
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -142,7 +144,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, seed: int = 3, ra
     if not languages:
         return None
     g, labels = np.random.default_rng(seed), len(languages)
-    words = Words(*B.string_buffers(pa.array(texts, pa.string())))
+    words = Words.of(texts)
     flat, many = features(words)
     first = np.cumsum(many) - many
     own = np.repeat([languages.index(x) for x in langs], words.counts)
@@ -186,6 +188,8 @@ def sample(docs: DataFrame, learn: Column, max_rows: int, id_col: str = "doc_id"
     ids = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & learn).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
     turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     chosen = ids.withColumn("_turn", turn).filter(F.col("_turn") <= max_rows).select("_id", "_lang").distinct()
+    if chosen.count() <= BROADCAST_ROWS:  # ids alone are read for this
+        chosen = F.broadcast(chosen)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.col("_text").isNotNull()).join(chosen, ["_id", "_lang"])
     return [(r._text, r._lang) for r in rows.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).orderBy("_id", "_lang").toLocalIterator()]
 
