@@ -150,8 +150,8 @@ def _cutter(parts: int):
                 unit, train = Unit(data, offs), ~np.array(batch.column(2).slice(lo, hi - lo))
                 texts = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(~train), pa.array(np.diff(offs))], ["id", "held", "size"])
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(texts)
+                with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(texts)
                 rows = [{"kind": TEXTS, "a": sink.getvalue().to_pybytes(), "b": len(data).to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)}]
                 key_n, word_n = unit.key_counts(train), unit.word_counts(train)
                 pair, pair_n = _pairs(unit.keys, key_n)
@@ -160,8 +160,12 @@ def _cutter(parts: int):
                     for k in np.unique(bucket).tolist():
                         own = bucket == k
                         rows.append({"kind": kind, "bucket": k, "a": squeeze_sorted(keys[own]), "b": squeeze(counts[own])})
-                yield pa.RecordBatch.from_pylist([r | {"unit": number} for r in rows], _ROW_TYPE)
+                out = pa.RecordBatch.from_pylist([r | {"unit": number} for r in rows], _ROW_TYPE)
+                del unit, rows, keys, counts, bucket, own, key_n, word_n, texts, sink
+                yield out
                 number += 1
+                del out
+                B.release()
 
     return run
 
@@ -285,6 +289,8 @@ def _answerer(shared):
         units = pa.concat_arrays([table["unit"].combine_chunks() if table["unit"].num_chunks != 1 else table["unit"].chunk(0), pa.array([-1], pa.int64())])
         own = [units, pa.array([kind] * rows + [TOTALS], pa.int32()), pa.array([bucket] * (rows + 1), pa.int32()), pa.array([*data, b""], pa.binary())]
         own += [pa.array([0] * rows + [int(totals.sum()) if kind == WORDS else 0], pa.int64()), pa.array([0] * rows + [int((totals > 0).sum()) if kind == WORDS else 0], pa.int64())]
+        del asked, counts, keys, which, totals, values
+        B.release()
         return pa.Table.from_arrays(own, ["unit", "kind", "bucket", "data", "n", "v"])
 
     return run
@@ -312,6 +318,8 @@ def _adder(parts: int, n: int, v: int):
         known = np.bincount(unit.token_doc, weights=(counts > 0)[unit.word_of], minlength=docs).astype(np.int64)
         base = np.bincount(unit.token_doc, weights=np.log10(counts + 1)[unit.word_of], minlength=docs) - unit.n_tokens * np.log10(n + v + 1)
         own = [rows["id"].combine_chunks(), rows["held"].combine_chunks(), pa.array(unit.n_tokens, pa.int64()), pa.array(known), pa.array(np.full(docs, n), pa.int64()), pa.array(base), pa.array(score), pa.array(np.bincount(unit.key_doc, minlength=docs), pa.int64())]
+        del unit, by_key, by_word, logs, counts, each, data, raw
+        B.release()
         return pa.Table.from_arrays(own, names)
 
     return run
@@ -322,7 +330,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     not held out, with the unigram ``base_score``, token counts and bytes scored."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, size // (24 << 20))
+    parts = max(8, size // (12 << 20))
     units = checkpointed(rows.mapInArrow(_cutter(parts), _ROWS))
     pairs = units.filter(F.col("kind") == PAIRS).select(F.explode(F.arrays_zip("pair", "pair_n")).alias("x")).groupBy("x.pair").agg(F.sum("x.pair_n").alias("n")).collect()
     shared = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in pairs], np.int64), np.array([r[1] for r in pairs], np.int64)))
