@@ -140,6 +140,26 @@ class Hasher:
         return mix(h)
 
 
+_IS_LETTER: list[np.ndarray] = []
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes begin a letter: a code point of the Unicode categories L*."""
+    out = ((data | 32) >= 97) & ((data | 32) <= 122)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        if not _IS_LETTER:
+            _IS_LETTER.append(np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000))
+        first = data[lead].astype(np.int32)
+        more = 1 + (first >= 0xE0) + (first >= 0xF0)  # bytes that follow
+        code = first & (0x3F >> more)
+        padded = np.append(data, np.zeros(3, np.uint8))
+        for k in (1, 2, 3):
+            code = np.where(more >= k, (code << 6) | (padded[lead + k] & 0x3F), code)
+        out[lead] = _IS_LETTER[0][code]
+    return out
+
+
 def hash_bytes(text: bytes) -> int:
     """The Hasher's value of one whole text."""
     data = np.frombuffer(text, np.uint8)

@@ -4,17 +4,23 @@ Every word gets a score for each language from its lexicon entry (the word itsel
 its affixes and its character n-grams, all hashed, and neighbouring words are tied
 by learned transitions, so code-switched text is labelled word by word.
 Forward-backward gives each word's marginals over the whole text; a text's language
-is the one with the most expected words, its score that share.
+is the one with the most expected words that hold a letter, its score that share.
+A text of more than ``LONG`` words is cut into blocks: the products of each block's
+steps, one small matrix a block, carry the messages from block to block, so all blocks
+run side by side and the marginals are those of the whole text.
 
 ``fit`` learns on at most ``max_rows`` documents of each language, chosen by a hash
 of their ids: likelihood gradients by forward-backward and Adam.  Sequences are runs
 of up to ``RUN`` words; some switch between texts of two languages, so the
 transitions see both staying and switching.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; with
-nothing to learn from all texts are; words are runs of letters and digits; repeated
-rows are labelled alike; null languages and null ids teach nothing; an empty table
-gives an empty table; input columns called like an added column are replaced.
+Defined results: a null or empty text, or one without a letter (Unicode categories L*),
+is ``und`` with score 0; with nothing to learn from all texts are; words are runs of
+ASCII letters, digits and all other code points beyond ASCII; of equal shares the first
+language in code-point order wins; a text of any length is labelled as a whole, in
+memory of some 60 times its size; repeated rows are labelled alike; null languages and
+null ids teach nothing; an empty table gives an empty table; input columns called like
+an added column are replaced.
 """
 
 from __future__ import annotations
@@ -34,12 +40,11 @@ TABLE = 1 << 16
 SIZES = (1, 2, 3)
 AFFIXES = (2, 3, 4)
 RUN = 24
+LONG, STEP = 4096, 512
 UNKNOWN = "und"
 #: Chosen ids are broadcast up to so many; with more languages than that allows they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 ADDED = {"lang_pred": "string", "score": "double"}
-_LETTERS = np.zeros(256, bool)
-_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +68,13 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
-def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word marginals, expected transitions and log-likelihood normalizers.
 
     ``emit``: steps x sequences x labels; sequences are sorted by falling length, so
     at every step those still running come first.  Values are rescaled at each step.
+    ``before`` and ``after``: messages into the first and last step of each sequence,
+    where it is a part of a longer one (then the last two results are of no use).
     """
     steps, rows, labels = emit.shape
     running = mask.sum(axis=1).astype(np.int64)
@@ -75,7 +82,7 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tu
     top = emit.max(axis=2, keepdims=True)
     e = np.exp(emit - top)
     alpha, scale = np.zeros_like(e), np.ones((steps, rows), e.dtype)
-    alpha[0] = e[0]
+    alpha[0] = e[0] if before is None else e[0] * before
     scale[0] = alpha[0].sum(axis=1)
     alpha[0] /= scale[0][:, None]
     for t in range(1, steps):
@@ -84,6 +91,8 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tu
         scale[t, :k] = a.sum(axis=1)
         alpha[t, :k] = a / scale[t, :k, None]
     beta = np.ones_like(e)
+    if after is not None:
+        beta[mask.sum(axis=0) - 1, np.arange(rows)] = after
     expected = np.zeros((labels, labels))
     for t in range(steps - 2, -1, -1):
         k = running[t + 1]
@@ -91,7 +100,34 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tu
         beta[t, :k] = later @ step_cost.T
         expected += (alpha[t, :k].T @ later) * step_cost
     normal = (np.log(scale) * mask + top[:, :, 0] * mask).sum(axis=0)
-    return alpha * beta, expected, normal
+    got = alpha * beta
+    if after is not None:
+        got /= np.maximum(got.sum(axis=2, keepdims=True), 1e-30)
+    return got, expected, normal
+
+
+def block_messages(emit: np.ndarray, move: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Messages into the first and the last word of each block of ``step`` words."""
+    n, labels = emit.shape
+    blocks = -(-n // step)
+    cost = np.exp(move.astype(np.float64))
+    e = np.ones((blocks * step, labels))
+    e[:n] = np.exp(emit - emit.max(axis=1, keepdims=True))
+    e = e.reshape(blocks, step, labels)
+    size = np.minimum(n - np.arange(blocks) * step, step)
+    whole = np.eye(labels) * e[:, 0, None, :]
+    for t in range(1, step):
+        k = blocks if size[-1] > t else blocks - 1  # only the last block may be short
+        now = (whole[:k] @ cost) * e[:k, t, None, :]
+        whole[:k] = now / now.max(axis=(1, 2), keepdims=True)
+    before, after = np.ones((blocks, labels)), np.ones((blocks, labels))
+    for b in range(1, blocks):
+        v = before[b - 1] @ whole[b - 1] @ cost
+        before[b] = v / v.max()
+    for b in range(blocks - 2, -1, -1):
+        v = cost @ (whole[b + 1] @ after[b + 1])
+        after[b] = v / v.max()
+    return before, after
 
 
 class Tagger:
@@ -104,12 +140,15 @@ class Tagger:
         flat, many = features(words)
         return sum_rows(self.weights[flat], many)
 
-    def marginals(self, emit: np.ndarray, counts: np.ndarray, width: int = 2_000_000) -> np.ndarray:
+    def marginals(self, emit: np.ndarray, counts: np.ndarray, width: int = 1_000_000) -> np.ndarray:
         """Word marginals of texts laid end to end, texts of like length together."""
         out = np.empty((len(emit), len(self.languages)), np.float32)
         first = np.cumsum(counts) - counts
+        for k in np.flatnonzero(counts > LONG).tolist():
+            own = slice(first[k], first[k] + counts[k])
+            out[own] = self._long(emit[own], width)
         order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] > 0]
+        order = order[(counts[order] > 0) & (counts[order] <= LONG)]
         at = 0
         while at < len(order):
             longest = int(counts[order[at]])
@@ -124,18 +163,33 @@ class Tagger:
             at += len(near)
         return out
 
+    def _long(self, emit: np.ndarray, width: int) -> np.ndarray:
+        """The same of one long text, its blocks side by side."""
+        n, out = len(emit), np.empty(emit.shape, np.float32)
+        before, after = block_messages(emit, self.move, STEP)
+        for a in range(0, len(before), max(1, width // STEP)):
+            many = min(max(1, width // STEP), len(before) - a)
+            place = (a + np.arange(many))[None, :] * STEP + np.arange(STEP)[:, None]
+            mask = place < n
+            got, _, _ = forward_backward(emit[np.minimum(place, n - 1)], self.move, mask, before[a : a + many].astype(np.float32), after[a : a + many].astype(np.float32))
+            out[place[mask]] = got[mask]
+        return out
+
     def label(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each text's language (-1: no letter) and its share of expected words."""
         rows = len(offs) - 1
-        letters = np.concatenate([[0], np.cumsum(_LETTERS[data])])
         words = Words(data, offs)
+        lettered = np.concatenate([[0], np.cumsum(B.letters(data), dtype=np.int64)])
+        lettered = (lettered[words.until] > lettered[words.at])[words.which]
+        doc = B.row_of(words.counts)
         share = np.zeros((rows, len(self.languages)))
-        if len(words.which):
+        if lettered.any():
             got = self.marginals(self.emissions(words)[words.which], words.counts)
-            share[words.counts > 0] = np.add.reduceat(got.astype(np.float64), (np.cumsum(words.counts) - words.counts)[words.counts > 0], axis=0)
+            for k in range(len(self.languages)):
+                share[:, k] = np.bincount(doc, weights=got[:, k] * lettered, minlength=rows)
         best = share.argmax(axis=1)
         score = share[np.arange(rows), best] / np.maximum(share.sum(axis=1), 1e-9)
-        silent = letters[offs[1:]] == letters[offs[:-1]]
+        silent = np.bincount(doc, weights=lettered, minlength=rows) == 0
         return np.where(silent, -1, best), np.where(silent, 0.0, np.minimum(score, 1.0))
 
 

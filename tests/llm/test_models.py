@@ -3,6 +3,7 @@
 import copy
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,43 @@ def test_forward_backward():
     assert np.allclose(pairs, expected)
 
 
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 12, 40])
+def test_blocks_give_the_marginals_of_the_whole(n, monkeypatch):
+    monkeypatch.setattr(langid, "LONG", 4)
+    monkeypatch.setattr(langid, "STEP", 6)
+    rng = np.random.default_rng(n)
+    tagger = langid.Tagger(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)))
+    emit = rng.normal(scale=3, size=(n + 3, 3)).astype(np.float32)
+    whole, _, _ = langid.forward_backward(emit[3:, None], tagger.move, np.ones((n, 1), bool))
+    got = tagger.marginals(emit, np.array([3, n]), width=20)
+    assert np.allclose(got[3:], whole[:, 0], atol=1e-5)
+
+
+NO_LETTERS = ["\u2014 \u2026 \u201c\u201d", "\u20ac \u00a3 \u00d7", "\u3002\u3001\uff01", "\U0001f600\U0001f600", "\u00a0", "\u0663\u0664\u0665", "\u00bf?", "\u00bd \u00b2", "\u2160\u0301", "7"]
+LETTERS = ["\u00e9", "\u6f22", "\u0431", "\u2014 x", "\u00aa", "\U00010400", "3\u00b2\u02b0", "\u05d0"]
+
+
+def test_letters_are_code_points(spark):
+    for k, text in enumerate([*NO_LETTERS, *LETTERS]):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert B.letters(data).sum() == sum(map(str.isalpha, text)), text
+        assert B.letters(data).any() == (k >= len(NO_LETTERS))
+    df = spark.createDataFrame(list(enumerate([*NO_LETTERS, *LETTERS])), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, langid.train(["la casa blanca", "the white house"], ["es", "en"])).collect()}
+    assert all(got[k] == ("und", 0.0) for k in range(len(NO_LETTERS)))
+    assert all(got[len(NO_LETTERS) + k][0] in ("es", "en") for k in range(len(LETTERS)))
+
+
+def test_a_very_long_text_is_labelled_in_bounded_time():
+    rng = random.Random(5)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(2)) for _ in range(n))
+    tagger = langid.train([make(["ba", "lo", "mi"], 40) for _ in range(30)] + [make(["krz", "szt", "owk"], 40) for _ in range(30)], ["a"] * 30 + ["b"] * 30)
+    text = (make(["krz", "szt", "owk"], 3000) + " ") * 1000  # 20 MB
+    began = time.perf_counter()
+    best, score = tagger.label(*B.string_buffers(pa.array([text, "lomi balo"])))
+    assert time.perf_counter() - began < 20 and best.tolist() == [1, 0] and score[0] > 0.95
+
+
 def test_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("clash"))
     tagger = langid.fit(docs, ~held_out(4, 2))
