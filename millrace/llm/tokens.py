@@ -16,17 +16,22 @@ A Simple-8b word keeps a selector in its top four bits and packs as many of the
 next values as fit; selector 0 is the escape for a value of 60 bits or more, which
 follows as a word of its own.
 
-Texts are cut at ASCII white space, which the tokenizer drops, and where it always
-cuts itself (beside a digit, between letters and signs); the pieces are encoded once
-and kept in a bounded cache, so this gives the ids of the whole text.
+Any tokenizer file serves.  Where its normalizer, its pre-tokenizer and its model's
+settings are those of ``CUTTING``, texts are cut at ASCII white space, which such a
+tokenizer drops, and where it always cuts itself (beside a digit, between letters and
+signs); the pieces are encoded once and kept in a bounded cache, which gives the ids of
+the whole text.  With any other file whole texts are encoded.
 
 Defined results: a null or empty text is the end id alone; rows of one id are
-ordered by a hash of their text; null ids come first; an empty table gives no
-blocks; extra columns are not read.
+ordered by a hash of their text; null ids come first; a very long text is encoded
+as a whole, in memory of a constant times its size, and is a block of its own; equal
+texts give equal ids; an empty table gives no blocks; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -153,6 +158,29 @@ _CUT[_LETTER, [_SIGN, _APOSTROPHE]] = _CUT[_SIGN, _LETTER] = True
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
+#: The settings of a tokenizer file for which the cuts above are proven.
+CUTTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def cuts_are_proven(tokenizer) -> bool:
+    """Whether pieces give the ids of whole texts: the settings are ``CUTTING``'s, nothing
+    is truncated or padded, and every added token holds a bar and is matched as it is."""
+    told = json.loads(tokenizer.to_str())
+    told["model"] = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
+    plain = all("|" in x["content"] and not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]) for x in told["added_tokens"])
+    return plain and told["truncation"] is None and told["padding"] is None and all(told[k] == v for k, v in CUTTING.items())
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write a byte as itself if it prints, else as the next free code point from 256."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -160,14 +188,25 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(rest)}
 
 
+class TextEncoder:
+    """Ids of whole texts by any tokenizer."""
+
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id = tokenizer, end_id
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length and ids of every text, each with the end id."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        ids = [np.array([*x.ids, self.end_id], np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([len(x) for x in ids], np.int64), np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+
 class WordEncoder:
     """Ids of whole texts, by way of the ids of their pieces."""
 
-    def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.end_id, self.letters = Tokenizer.from_file(path), end_id, _byte_letters()
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id, self.letters = tokenizer, end_id, _byte_letters()
         self.model = self.tokenizer.model
         self.clear()
 
@@ -230,13 +269,17 @@ class WordEncoder:
         return np.diff(last, prepend=0) + 1, np.insert(ids, last, np.uint32(self.end_id))
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str, end_id: int) -> WordEncoder:
+def encoder(path: str, end_id: int) -> WordEncoder | TextEncoder:
     """One for each process, with its cache."""
     if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        tokenizer = Tokenizer.from_file(path)
+        _ENCODERS[path, end_id] = (WordEncoder if cuts_are_proven(tokenizer) else TextEncoder)(tokenizer, end_id)
     return _ENCODERS[path, end_id]
 
 

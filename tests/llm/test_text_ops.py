@@ -223,6 +223,25 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    assert isinstance(tokens.encoder(path, 50256), tokens.TextEncoder) and isinstance(tokens.encoder(tokenizer_path(), 2), tokens.WordEncoder)
+    texts = [*ODD, "Plain words, 12 of them!", "a<|endoftext|>b  c", "I'LL it's"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.tokenize(df, path, 50256).collect()}
+    real = Tokenizer.from_file(path)
+    ids = [[*real.encode(t or "", add_special_tokens=False).ids, 50256] for t in texts]
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+    told = json.loads(open(tokenizer_path()).read())  # a small change of the known file is another tokenizer
+    told["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(told))
+    assert isinstance(tokens.encoder(str(tmp_path / "cased.json"), 2), tokens.TextEncoder)
+
+
 def test_token_files(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(ODD)] + [(10**9, "twice"), (None, "none")], "doc_id long, text string"))
     got = tokens.tokenize(docs.repartition(5), tokenizer_path(), block_ids=500).collect()
