@@ -232,7 +232,7 @@ def remove_passages(docs: DataFrame, items: DataFrame, text_col: str = "text", *
     nothing was found.
     """
     rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_dc_rest") if rest else F.lit(None).alias("_dc_rest"), F.col(text_col).alias("_dc_text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_dc_rest") if rest else F.lit(0).alias("_dc_rest"), F.col(text_col).alias("_dc_text"))
     found = find_passages(rows, items, text_col="_dc_text", **options)
     cut = found.mapInArrow(_cutter("_dc_text", found.columns), found.schema)
     left = (F.size("hits") == 0) | (F.regexp_replace(F.lower("_dc_text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "") != "")

@@ -292,9 +292,24 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, te
     return out.mapInArrow(_scorer(shared, text_col, schema.fieldNames(), threshold), schema)
 
 
+def _rejecter(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for batch in batches:
+            for lo, hi, data, offs in B.text_chunks(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                yield part.filter(pa.array(net.score(data, offs) < threshold)) if net else part
+
+    return run
+
+
 def reject(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without those whose score reaches the threshold, columns as they were."""
-    bare = docs.withColumn("_tox_text", F.col(text_col))
-    rows = bare.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_tox_row"), "_tox_text")
-    kept = score(rows, net, threshold, "_tox_text").filter(F.col("predicted") == 0)
-    return kept.select(*(F.col("_tox_row").getField(c).alias(c) for c in docs.columns))
+    """``docs`` without those whose score reaches the threshold, columns as they were.
+
+    Each text goes to Python once; of the rejected ones nothing comes back.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(0).alias("rest"), F.col(f"`{text_col}`").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    kept = rows.mapInArrow(_rejecter(shared, threshold), rows.schema)
+    return kept.select(*(F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns))
