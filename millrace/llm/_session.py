@@ -1,52 +1,6 @@
-"""What the operators need of the session: checkpoints in the shared folder, code on the executors."""
+"""What the operators need of the session, by the names used here."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def _checkpoint_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset, as in local tests, a temporary one."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the folder that all executors share, and read back.
-
-    This cuts the lineage, and unlike ``checkpoint()`` the optimizer's constraints too,
-    which in loops grow with every round.
-    """
-    folder = shared_folder(df.sparkSession, "stage")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A path not used before, in the folder that all executors share."""
-    return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers on machines that share this code's folder import it.
-
-    Elsewhere send the package with ``--py-files``.
-    """
-    root = str(Path(__file__).resolve().parent.parent.parent)
-    environment = spark.sparkContext.environment
-    have = environment.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, have]))
+from millrace.storage import discard, shared_folder, ship  # noqa: F401
+from millrace.storage import materialized as checkpointed  # noqa: F401
