@@ -3,8 +3,9 @@
 ``mix`` decides how often each document is taken so that every source gives its
 share of the words.  The plan is DataFrame operations only:
 
-1. each row gets a key that is random but repeatable (md5 of seed, id and text);
-   the key's first hex digits cut a source into even ranges;
+1. each row gets a key that is random but repeatable (md5 of seed, id and text) and
+   its size, stored as a table, so texts are read once; the key's first hex digits,
+   as many as the size asks for, cut a source into even ranges of ``RANGE_WORDS``;
 2. one exchange deals the rows by (source, range); inside a range a window sums
    the sizes in key order, and the ranges' totals, a small table, give every
    range its offset: together a distributed prefix sum over a whole source;
@@ -17,9 +18,10 @@ No row meets all others of its source, so a source may hold any part of the rows
 
 Defined results: a null or empty text has size 0; a null source is a source of its
 own, last in order; rows with equal id and text have equal keys and may differ in
-``taken`` where a budget ends between them; a source of size 0 has target 0; an
-empty table gives an empty table; input columns called like an added column are
-replaced.
+``taken`` where a budget ends between them; a very long text counts like any other and
+may alone take its source past or short of its budget by half its size; a source of size
+0 has target 0; an empty table gives an empty table; input columns called like an added
+column are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm._session import checkpointed
+
+#: Words of a range, the rows that one window meets.
+RANGE_WORDS = 1 << 21
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
@@ -37,28 +43,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] | None = None, range_words: int = RANGE_WORDS) -> DataFrame:
     """``docs`` with size, source_size, target, taken (words) and copies (times taken).
 
     ``weights`` are dealt to the sources in code-point order, repeating.
-    ``range_digits``: a source is cut into 16 ** range_digits ranges.
+    ``carry``: the columns of ``docs`` wanted in the result, all by default; without the
+    text nothing but keys and sizes is stored and exchanged.
     """
-    kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
+    sized = docs.select(
         *(F.col(f"`{c}`") for c in kept),
-        word_count(F.col(text_col)).alias("_mx_size"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("_mx_source"),
-        F.col(source_col).isNull().alias("_mx_null"),
-        F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))).alias("_mx_key"),
-    ).withColumn("_mx_range", F.substring("_mx_key", 1, range_digits))
+        word_count(text).alias("_mx_size"),
+        F.coalesce(source, F.lit("")).alias("_mx_source"),
+        source.isNull().alias("_mx_null"),
+        F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))).alias("_mx_key"),
+    )
+    sized = checkpointed(sized)
+    largest = sized.groupBy("_mx_null", "_mx_source").agg(F.sum("_mx_size").alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = max(1, -(-(largest // range_words).bit_length() // 4))
+    rows = sized.withColumn("_mx_range", F.substring("_mx_key", 1, digits))
     by = ["_mx_null", "_mx_source", "_mx_range"]
-    dealt = rows.repartition(*by)
-    totals = dealt.groupBy(*by).agg(F.sum("_mx_size").alias("_mx_sum"))
+    totals = rows.groupBy(*by).agg(F.sum("_mx_size").alias("_mx_sum"))
     before = Window.partitionBy("_mx_null", "_mx_source").orderBy("_mx_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_mx_offset", F.coalesce(F.sum("_mx_sum").over(before), F.lit(0)))
     plan = offsets.join(targets(totals, weights, max_epochs), ["_mx_null", "_mx_source"]).drop("_mx_sum")
     inside = Window.partitionBy(*by).orderBy("_mx_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("_mx_before", F.coalesce(F.sum("_mx_size").over(inside), F.lit(0))).join(plan, by)
+    placed = rows.withColumn("_mx_before", F.coalesce(F.sum("_mx_size").over(inside), F.lit(0))).join(plan, by)
     once_more = F.col("_mx_offset") + F.col("_mx_before") + F.col("_mx_size") / 2 < F.col("_mx_target") - F.col("_mx_full") * F.col("_mx_total")
     copies = (F.col("_mx_full") + F.when(once_more, 1).otherwise(0)).cast("long")
     return placed.select(
