@@ -15,8 +15,10 @@ is broadcast has a fixed bound at any benchmark size.
 
 Defined results: a null or empty text or one without words has no hits; an item
 without words has no windows; items with a null id are not searched; rows of one
-item id are one item; repeated documents each get their result; empty tables work
-on both sides; input columns called like an added column are replaced.
+item id are one item; a window of several items counts for each of them; a very long
+text is a shard of its own, in memory of a constant times its size; repeated documents
+each get their result; empty tables work on both sides; input columns called like an
+added column are replaced.
 """
 
 from __future__ import annotations
@@ -78,16 +80,31 @@ class FMIndex:
             lo, hi = np.where(one, total + lo - z_lo, z_lo), np.where(one, total + hi - z_hi, z_hi)
         return self.below[symbol] + hi - lo
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Patterns (rows of one length) that occur, and their ranges of suffixes."""
-        which = np.flatnonzero((patterns < len(self.below) - 1).all(axis=1))
-        lo, hi = np.zeros(len(which), np.int64), np.full(len(which), self.n, np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[which, k]
-            lo, hi = self.below[c] + self.rank(c, lo), self.below[c] + self.rank(c, hi)
+    def search(self, words: np.ndarray, starts: np.ndarray, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Patterns that occur, and their ranges of suffixes.
+
+        A pattern is ``length`` of ``words`` from one of ``starts``.  Patterns are in the
+        order of their words from the last one back, and ``shared`` has how many of these
+        each has in common with the one before; a common ending is searched once.
+        """
+        from_, to = np.zeros(1, np.int64), np.full(1, len(starts), np.int64)
+        lo, hi = np.zeros(1, np.int64), np.full(1, self.n, np.int64)
+        for k in range(length - 1, -1, -1):
+            leaders = np.flatnonzero(shared < length - k)
+            first = np.searchsorted(leaders, from_)
+            many = np.searchsorted(leaders, to) - first
+            parent = B.row_of(many)
+            place = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(parent))
+            child = leaders[place]
+            c = words[starts[child] + k]
+            known = np.flatnonzero(c < len(self.below) - 1)
+            c, child, place, parent = c[known], child[known], place[known], parent[known]
+            lo, hi = self.below[c] + self.rank(c, lo[parent]), self.below[c] + self.rank(c, hi[parent])
             found = hi > lo
-            which, lo, hi = which[found], lo[found], hi[found]
-        return which, lo, hi
+            from_, to, lo, hi = child[found], np.append(leaders, len(starts))[place[found] + 1], lo[found], hi[found]
+            if not len(from_):
+                break
+        return from_, lo, hi
 
     def locate(self, row: np.ndarray) -> np.ndarray:
         """Text positions of suffixes."""
@@ -99,35 +116,71 @@ class FMIndex:
         return out
 
 
+def _backward_ranks(words: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the ``length`` words that end at each place, compared from the last one
+    back, by doubling; of no meaning where fewer stand before."""
+    rank, have = words.astype(np.int64), 1
+    while have < length:
+        step = min(have, length - have)  # the earlier part may overlap the later one
+        rank[step:] = rank[step:] * (rank.max() + 1) + rank[:-step] if step < len(rank) else 0
+        by = np.argsort(rank)
+        sorted_ = rank[by]
+        new = np.zeros(len(by), bool)
+        np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+        rank[by] = np.cumsum(new, out=sorted_)
+        have += step
+    return rank
+
+
 class Phrases:
-    """Windows of a group of benchmark items: a vocabulary and patterns by length."""
+    """Windows of a group of benchmark items: a vocabulary, the items' words as its ids,
+    and of each length of window where they begin and whose they are.  All are arrays of
+    numbers, some 20 bytes a window."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        column = pa.array([text for _, text in items], pa.string())
-        data, offs = B.string_buffers(column)
-        starts, ends, counts = B.spans(B.ALNUM[data], offs)
-        hashes = B.Hasher(data, lower=True)(starts, ends)
-        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
-        ids = ids.astype(np.int64) + 1
-        owners: dict[tuple[int, ...], set[str]] = {}
-        first = np.concatenate([[0], np.cumsum(counts)])
-        for k, (name, _) in enumerate(items):
-            own = ids[first[k] : first[k + 1]].tolist()
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                owners.setdefault(tuple(own[i : i + window]), set()).add(name)
-        self.patterns: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for length in sorted({len(p) for p in owners}):
-            own = [p for p in owners if len(p) == length]
-            self.patterns[length] = np.array(own, np.int64), [sorted(owners[p]) for p in own]
+        hashes, each = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, data, offs in B.text_chunks(pa.array([text for _, text in items], pa.string()), 1 << 20):
+            starts, ends, counts = B.spans(B.ALNUM[data], offs)
+            hashes.append(B.Hasher(data, lower=True)(starts, ends))
+            each.append(counts)
+        flat, counts = np.concatenate(hashes), np.concatenate(each)
+        del hashes
+        self.vocabulary = np.unique(flat)
+        self.words = (np.searchsorted(self.vocabulary, flat) + 1).astype(np.int32)
+        del flat
+        self.names = sorted({name for name, _ in items})
+        rank = {name: k for k, name in enumerate(self.names)}
+        owner = np.array([rank[name] for name, _ in items], np.int32)
+        first, size = np.cumsum(counts) - counts, np.minimum(counts, window)
+        #: By length: the windows' first words, the words shared with the window before, and their owners from and to.
+        self.patterns: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == length)
+            many = counts[own] - length + 1
+            begin = (np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))).astype(np.int32)
+            who = np.repeat(owner[own], many)
+            by = np.argsort(_backward_ranks(self.words, length)[begin + length - 1])
+            begin, who = begin[by], who[by]
+            shared, same = np.zeros(len(begin), np.int32), np.ones(len(begin) - 1, bool)
+            for k in range(length - 1, -1, -1):
+                column = self.words[begin + k]
+                same &= column[1:] == column[:-1]
+                shared[1:] += same
+            new = shared < length
+            new[0] = True
+            pair = np.unique((np.cumsum(new) - 1) * len(self.names) + who)
+            self.patterns[length] = begin[new], shared[new], np.searchsorted(pair, np.arange(int(new.sum()) + 1) * len(self.names)).astype(np.int32), (pair % len(self.names)).astype(np.int32)
         self.shortest = min(self.patterns, default=0)
 
-    def find(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
-        """Word starts, ends, offsets of each document's words, hit words, and items of documents."""
+    def find(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of each document's words, which words are hit, and pairs of a document
+        and a name's place, in order."""
         starts, ends, counts = B.spans(B.ALNUM[data], offs)
         first = np.concatenate([[0], np.cumsum(counts)])
-        hit, items = np.zeros(len(starts), bool), {}
+        none = np.zeros(0, np.int64)
+        nothing = first, np.zeros(len(starts), bool), none, none
         if not self.shortest or not len(starts):
-            return starts, ends, first, hit, items
+            return nothing
         hashes = B.Hasher(data, lower=True)(starts, ends)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         ids = np.where(self.vocabulary[at] == hashes, at + 1, 0)
@@ -135,27 +188,27 @@ class Phrases:
         long = run_to - run_from >= self.shortest
         run_from, run_to = run_from[long], run_to[long]
         if not len(run_from):
-            return starts, ends, first, hit, items
+            return nothing
         length = run_to - run_from + 1
         shift = np.repeat(run_from - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
         origin = np.arange(int(length.sum())) + shift
         text = ids[np.minimum(origin, len(ids) - 1)]
         text[np.cumsum(length) - 1] = 0
         index = FMIndex(text)
-        change = np.zeros(len(starts) + 1, np.int64)
-        for size, (patterns, names) in self.patterns.items():
-            which, lo, hi = index.search(patterns)
-            if not len(which):
-                continue
+        change, pairs = np.zeros(len(starts) + 1, np.int64), [none]
+        for size, (begin, shared, until, owners) in self.patterns.items():
+            which, lo, hi = index.search(self.words, begin, shared, size)
             many = hi - lo
-            rows = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+            rows = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             word = origin[index.locate(rows)]
-            np.add.at(change, word, 1)
-            np.add.at(change, word + size, -1)
-            pairs = np.unique((np.searchsorted(first, word, "right") - 1) * len(patterns) + np.repeat(which, many))
-            for doc, pattern in zip((pairs // len(patterns)).tolist(), (pairs % len(patterns)).tolist()):
-                items.setdefault(doc, set()).update(names[pattern])
-        return starts, ends, first, np.cumsum(change[:-1]) > 0, items
+            change += np.bincount(word, minlength=len(change)) - np.bincount(word + size, minlength=len(change))
+            seen = np.unique((np.searchsorted(first, word, "right") - 1) * len(begin) + np.repeat(which, many))
+            doc, pattern = seen // len(begin), seen % len(begin)
+            each = until[pattern + 1] - until[pattern]
+            name = owners[np.repeat(until[pattern] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+            pairs.append(np.unique(np.repeat(doc, each) * len(self.names) + name))
+        pair = np.unique(np.concatenate(pairs))
+        return first, np.cumsum(change[:-1]) > 0, pair // len(self.names), pair % len(self.names)
 
 
 def _groups(items: DataFrame, item_id: str, item_text: str, group_bytes: int) -> Iterator[list[tuple[str, str]]]:
@@ -169,26 +222,26 @@ def _groups(items: DataFrame, item_id: str, item_text: str, group_bytes: int) ->
 
 
 def _searcher(shared, text_col: str, names: list[str]):
-    arrow_hits, arrow_items = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
+        items = pa.array(phrases.names, pa.string())
         for batch in batches:
             have = dict(zip(batch.schema.names, batch.columns))
             for lo, hi, data, offs in B.text_chunks(have[text_col], SHARD):
-                _, _, first, hit, items = phrases.find(data, offs)
-                found = [sorted(items.get(k, ())) for k in range(hi - lo)]
+                first, hit, doc, name = phrases.find(data, offs)
+                found = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)), pa.int32()), items.take(pa.array(name)))
                 if "hits" in have:  # of earlier groups of items
-                    for k, (spans, before) in enumerate(zip(have["hits"][lo:hi].to_pylist(), have["items"][lo:hi].to_pylist())):
-                        found[k] = sorted({*found[k], *before})
-                        for x in spans:
-                            hit[first[k] + x["start"] : first[k] + x["end"]] = True
+                    before = have["hits"].slice(lo, hi - lo), have["items"].slice(lo, hi - lo)
+                    row = B.row_of(before[0].value_lengths().to_numpy())
+                    spans = before[0].flatten()
+                    at, to = (first[row] + spans.field(c).to_numpy() for c in ("start", "end"))
+                    hit |= B.union_length(at, to, len(hit))
+                    found = pa.array([sorted({*x, *y}) for x, y in zip(found.to_pylist(), before[1].to_pylist())], pa.list_(pa.string()))
                 begin, end, each = B.spans(hit, first)
-                doc = B.row_of(each)
-                hits: list[list[dict]] = [[] for _ in range(hi - lo)]
-                for k, b, e in zip(doc.tolist(), (begin - first[doc]).tolist(), (end - first[doc]).tolist()):
-                    hits[k].append({"start": b, "end": e})
-                own = {"n_words": pa.array(np.diff(first), pa.int64()), "hits": pa.array(hits, arrow_hits), "items": pa.array(found, arrow_items)}
+                start = first[B.row_of(each)]
+                spans = pa.StructArray.from_arrays([pa.array(begin - start, pa.int32()), pa.array(end - start, pa.int32())], ["start", "end"])
+                hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), spans)
+                own = {"n_words": pa.array(np.diff(first), pa.int64()), "hits": hits, "items": found}
                 yield pa.RecordBatch.from_arrays([own[c] if c in own else have[c].slice(lo, hi - lo) for c in names], names)
 
     return run
