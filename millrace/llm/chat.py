@@ -8,7 +8,8 @@ part.  Texts and roles are escaped so that no control string can stand in them,
 
 Defined results: null texts and roles are empty; null conversation ids are one
 conversation; null turns come first; rows of one turn are ordered by role and text;
-repeated rows are repeated turns; an empty table gives an empty table; extra columns
+repeated rows are repeated turns; a very long text is one turn, in memory of a constant
+times its size; an empty table gives an empty table; extra columns, whatever their names,
 are not read.
 """
 

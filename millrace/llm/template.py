@@ -279,7 +279,11 @@ def parse(source: str) -> tuple:
 
 def fold(tree: Any, filters: Mapping[str, Callable] = FILTERS) -> Any:
     """The same tree with what is known now computed: expressions of constants,
-    branches never or always taken, and neighbouring texts."""
+    branches never or always taken, and neighbouring texts.
+
+    A test is folded first, and a branch never taken isn't looked at.  What can't be
+    computed stays, and fails where it is rendered.
+    """
     if isinstance(tree, tuple):
         out: list = []
         for x in tree:
@@ -298,19 +302,18 @@ def fold(tree: Any, filters: Mapping[str, Callable] = FILTERS) -> Any:
                 out.append(y)
         return tuple(out)
     if isinstance(tree, Op):
+        if tree.name in ("and", "or", "if"):
+            test = fold(tree.args[0], filters)
+            if isinstance(test, Const):
+                if tree.name == "if":
+                    return fold(tree.args[1 if test.value else 2], filters)
+                return fold(tree.args[1], filters) if bool(test.value) == (tree.name == "and") else test
+            return Op(tree.name, (test, *(fold(x, filters) for x in tree.args[1:])))
         args = tuple(fold(x, filters) for x in tree.args)
-        known = [isinstance(x, Const) for x in args]
-        if tree.name in ("and", "or", "if") and known[0]:
-            first = args[0].value
-            if tree.name == "if":
-                return args[1] if first else args[2]
-            return args[1] if bool(first) == (tree.name == "and") else args[0]
-        if all(known) and tree.name in OPS:
-            return Const(OPS[tree.name](*(x.value for x in args)))
-        return Op(tree.name, args)
+        return _now(Op(tree.name, args), OPS.get(tree.name), args)
     if isinstance(tree, Filter):
         of = fold(tree.of, filters)
-        return Const(filters[tree.name](of.value)) if isinstance(of, Const) and tree.name in filters else Filter(tree.name, of)
+        return _now(Filter(tree.name, of), filters.get(tree.name), (of,))
     if isinstance(tree, Get):
         return Get(fold(tree.of, filters), fold(tree.key, filters))
     if isinstance(tree, Emit):
@@ -318,7 +321,10 @@ def fold(tree: Any, filters: Mapping[str, Callable] = FILTERS) -> Any:
     if isinstance(tree, Set):
         return Set(tree.name, fold(tree.value, filters))
     if isinstance(tree, If):
-        return If(fold(tree.test, filters), fold(tree.then, filters), fold(tree.otherwise, filters))
+        test = fold(tree.test, filters)
+        if isinstance(test, Const):
+            return If(test, *((fold(tree.then, filters), ()) if test.value else ((), fold(tree.otherwise, filters))))
+        return If(test, fold(tree.then, filters), fold(tree.otherwise, filters))
     if isinstance(tree, For):
         return For(tree.name, fold(tree.over, filters), fold(tree.body, filters))
     if isinstance(tree, Generation):
@@ -326,9 +332,31 @@ def fold(tree: Any, filters: Mapping[str, Callable] = FILTERS) -> Any:
     return tree
 
 
+def _now(tree: Any, use: Callable | None, args: tuple) -> Any:
+    """The value of an operation on constants, or the operation if there is none."""
+    if use and all(isinstance(x, Const) for x in args):
+        try:
+            return Const(use(*(x.value for x in args)))
+        except (TemplateError, ArithmeticError, TypeError):
+            pass
+    return tree
+
+
 # Closures
 
 
+def _safe(name: str, use: Callable[..., Any]) -> Callable[..., Any]:
+    """An operation whose failures on values it isn't for are template errors."""
+
+    def run(*args: Any) -> Any:
+        try:
+            return use(*args)
+        except (ArithmeticError, TypeError) as why:
+            raise TemplateError(f"{name}: {why}") from why
+
+    return run
+
+
 def _value(tree: Any, filters: Mapping[str, Callable]) -> Callable[[Scope], Any]:
     if isinstance(tree, Const):
         return lambda scope, v=tree.value: v
@@ -347,7 +375,7 @@ def _value(tree: Any, filters: Mapping[str, Callable]) -> Callable[[Scope], Any]
 
         return get
     if isinstance(tree, Filter):
-        use = filters.get(tree.name) or _fail(f"no such filter: {tree.name!r}")
+        use = _safe(tree.name, filters.get(tree.name) or _fail(f"no such filter: {tree.name!r}"))
         of = _value(tree.of, filters)
         return lambda scope: use(of(scope))
     args = [_value(x, filters) for x in tree.args]
@@ -357,7 +385,7 @@ def _value(tree: Any, filters: Mapping[str, Callable]) -> Callable[[Scope], Any]
         return lambda scope: args[0](scope) or args[1](scope)
     if tree.name == "if":
         return lambda scope: args[1](scope) if args[0](scope) else args[2](scope)
-    use = OPS[tree.name]
+    use = _safe(tree.name, OPS[tree.name])
     return (lambda scope: use(args[0](scope))) if len(args) == 1 else (lambda scope: use(args[0](scope), args[1](scope)))
 
 
