@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from enum import Enum
+from typing import Any
 
 from pyspark.sql import DataFrame
 
@@ -33,28 +35,30 @@ class Family(Enum):
     PRIMARY = "primary"  # right by join key: semi join with the set of all its keys
 
 
+@dataclass(frozen=True)
+class AccessPath:
+    """The base table (no layout) or an index over a relation."""
+
+    layout: Layout | None = None
+    covering: bool = False
+    purged: bool = False
+
+
 @dataclass(frozen=True)
 class Relation:
     """Arrivals of (pk, sk, seq[, payload]).  ``seq`` orders them, and later ones win;
-    ``unique`` says that no pk arrives twice, so the latest rows are the arrivals."""
+    ``unique`` says that no pk arrives twice, so the latest rows are the arrivals;
+    ``indexes`` are those stored for it, by access path."""
 
     df: DataFrame
     unique: bool = False
+    indexes: Mapping[AccessPath, Any] = field(default_factory=dict)
 
     @property
     def covered(self) -> bool:
         return "payload" in self.df.columns
 
 
-@dataclass(frozen=True)
-class AccessPath:
-    """The base table (no layout) or an index over a relation."""
-
-    layout: Layout | None = None
-    covering: bool = False
-    purged: bool = False
-
-
 @dataclass(frozen=True)
 class JoinSpec:
     left: Relation

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.model import AccessPath, Family, JoinSpec, Layout, Relation, Strategy
-from millrace.operators.index import along, build
+from millrace.operators.index import access, along
 from millrace.operators.upsert import key_set, latest
 
 #: A side is broadcast only up to this size by the planner's statistics.
@@ -40,11 +40,12 @@ def rows(spec: JoinSpec) -> DataFrame:
 def index_probe(left: Relation, right: Relation, layout: Layout, covering: bool, strategy: Strategy = Strategy.AUTO) -> DataFrame:
     """Every latest left row against an index of the right: (sk, r_pk, s_pk).
 
-    Only postings of keys that the left has are checked against the base.
+    The left keys meet the index first; only the postings they find are checked
+    against the base.
     """
-    probing = latest(left).select("sk", F.col("pk").alias("r_pk"))
-    index = build(right, layout, covering)
-    return probing.join(hinted(index.valid().select("sk", F.col("pk").alias("s_pk")), strategy), "sk")
+    probing = latest(left, "sk").select("sk", F.col("pk").alias("r_pk"))
+    index = access(right, AccessPath(layout, covering))
+    return index.met(hinted(probing, strategy)).select("sk", "r_pk", F.col("pk").alias("s_pk"))
 
 
 def index_merge(left: Relation, right: Relation, left_path: AccessPath, right_path: AccessPath) -> DataFrame:
@@ -52,9 +53,9 @@ def index_merge(left: Relation, right: Relation, left_path: AccessPath, right_pa
 
     def counts(rel: Relation, path: AccessPath, name: str) -> DataFrame:
         if path.layout is None:
-            found = latest(rel).groupBy("sk").agg(F.count("*").alias("n"))
+            found = latest(rel, "sk").groupBy("sk").agg(F.count("*").alias("n"))
         else:
-            found = build(rel, path.layout, path.covering, path.purged or path.covering).counts()
+            found = access(rel, path).counts()
         return found.withColumnRenamed("n", name)
 
     merged = counts(left, left_path, "n_r").join(counts(right, right_path, "n_s").hint("merge"), "sk")

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from millrace.model import Relation
 
 
-def latest(rel: Relation) -> DataFrame:
-    """The last arrival of each pk.
+def latest(rel: Relation, *columns: str) -> DataFrame:
+    """The last arrival of each pk: pk, ``columns`` (all by default) and seq.
 
     ``max_by`` is pre-aggregated before the exchange, so a pk with very many arrivals
-    sends one row from each task.
+    sends one row from each task; only the columns asked for are read and sent.
     """
+    value = [c for c in rel.df.columns if c not in ("pk", "seq") and (not columns or c in columns)]
     if rel.unique:
-        return rel.df
-    value = [c for c in rel.df.columns if c not in ("pk", "seq")]
-    kept = rel.df.groupBy("pk").agg(F.max_by(F.struct(*value), "seq").alias("_value"), F.max("seq").alias("seq"))
-    return kept.select("pk", *(F.col(f"_value.{c}").alias(c) for c in value), "seq")
+        return rel.df.select("pk", *value, "seq")
+    newest = F.max_by(value[0] if len(value) == 1 else F.struct(*value), "seq").alias("_value") if value else F.lit(None).alias("_value")
+    kept = rel.df.groupBy("pk").agg(newest, F.max("seq").alias("seq"))
+    return kept.select("pk", *(F.col("_value").alias(c) if len(value) == 1 else F.col(f"_value.{c}").alias(c) for c in value), "seq")
 
 
 def latest_by_rank(rel: Relation) -> DataFrame:

@@ -32,7 +32,7 @@ def choose(spec: JoinSpec) -> JoinSpec:
     Spark, which knows the sizes once the sides have run."""
     if spec.strategy is not Strategy.AUTO:
         return spec
-    right = key_set(spec.right) if spec.family is Family.PRIMARY else latest(spec.right).select("sk", "pk")
+    right = key_set(spec.right) if spec.family is Family.PRIMARY else latest(spec.right, "sk").select("sk", "pk")
     if plan_bytes(right) <= BROADCAST_BYTES // 8:
         return replace(spec, strategy=Strategy.BROADCAST)
     if spec.left_path.layout is not None and spec.right_path.layout is not None:
