@@ -20,6 +20,11 @@ def pad(key: Column, width: int = KEY_DIGITS) -> Column:
     return F.format_string(f"%0{width}d", key)
 
 
+def missing_digits(key: Column, width: int = KEY_DIGITS) -> Column:
+    """How many zeros pad a key: none for wider ones."""
+    return F.lit(width) - F.least(F.lit(width), F.length(key.cast("string")))
+
+
 def pad_truncated(key: Column, width: int = KEY_DIGITS) -> Column:
     """Zero-padded decimal cut to its first ``width`` digits, as fixed-width readers see it."""
     return F.lpad(key.cast("string"), width, "0")
@@ -78,6 +83,12 @@ def hash_bucket(text: Column, buckets: int) -> Column:
     return F.pmod(string_hash(text), F.lit(buckets)).cast("int")
 
 
+def to_little_endian(key: Column) -> Column:
+    """A key as eight little-endian bytes."""
+    digits = F.lpad(F.hex(key), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(8))))
+
+
 def little_endian(raw: Column) -> Column:
     """Eight little-endian bytes as an unsigned number, decimal(20, 0)."""
     digits = F.hex(raw)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from millrace.functions.keys import little_endian
@@ -88,7 +88,7 @@ class Written(WriterCommitMessage):
     rows: int
 
 
-class U64Writer(DataSourceWriter):
+class U64Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path = options["path"]
         root = _local(self.path)
@@ -99,16 +99,19 @@ class U64Writer(DataSourceWriter):
                 file.unlink()
         root.mkdir(parents=True, exist_ok=True)
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         name = f".try-{context.partitionId():06d}-{context.taskAttemptId()}"
         n = 0
         with open(_local(self.path) / name, "wb") as f:
-            for row in rows:
-                f.write(int(row[0]).to_bytes(WIDTH, "little"))
-                n += 1
+            for batch in batches:
+                keys = batch.column(0)
+                if keys.null_count:
+                    raise ValueError("a null is no key")
+                f.write(keys.cast(pa.uint64()).to_numpy(zero_copy_only=False).astype("<u8", copy=False).tobytes())
+                n += batch.num_rows
         return Written(name, n)
 
     def commit(self, messages: list[Written | None]) -> None:
