@@ -69,6 +69,36 @@ def test_key_files(spark, tmp_path):
         u64.read_keys(spark, str(tmp_path / "b")).collect()
 
 
+def test_key_files_keep_nothing_of_nulls(spark, tmp_path):
+    df = spark.createDataFrame([(5,), (0,), (2**40,)], "sk long").coalesce(1)
+    u64.write_keys(df, str(tmp_path / "k"))
+    assert [r.sk for r in u64.read_keys(spark, str(tmp_path / "k")).orderBy("seq").collect()] == [5, 0, 2**40]
+    assert (tmp_path / "k" / "part-000000").read_bytes() == b"".join(v.to_bytes(8, "little") for v in (5, 0, 2**40))
+    with pytest.raises(PySparkException):
+        u64.write_keys(spark.createDataFrame([(None,)], "sk long"), str(tmp_path / "n"))
+
+
+def test_key_sources(spark, tmp_path):
+    assert grid.key_source("skew_0.3", "skew_0.3") == grid.Generated(0.3) and grid.key_source("skew_", "x") == grid.Generated(0.0)
+    for name, values in (("r", [1, 2, 3, 9]), ("s", [2, 3, 4])):
+        (tmp_path / name).write_bytes(b"".join(v.to_bytes(8, "little") for v in values))
+    source = grid.key_source(str(tmp_path / "r"), str(tmp_path / "s"))
+    assert isinstance(source, grid.KeyFiles)
+    point = grid.Point("files", 50, source)
+    r, s = grid.relations(spark, point, 3)
+    assert sorted(x.sk for x in r.df.collect()) == [1, 2, 3] and all(len(x.payload) == 40 for x in s.df.collect())
+    rows = grid.metrics(spark, 3, [point]).collect()
+    assert {x.matches for x in rows} == {2} and len(rows) == len(grid.operators()) and all(x.join_ms >= 0 for x in rows)
+
+
+def test_arrival_order_is_dense(spark):
+    df = generators.shuffled(spark.range(500).repartition(7), 4, "id")
+    assert sorted(r.seq for r in df.collect()) == list(range(500))
+    again = generators.shuffled(spark.range(500).repartition(3), 4, "id")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, again.collect()))
+    assert sorts.first_n(df, 10).count() == 10
+
+
 def test_rank_and_counts(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("sk"), F.col("id").alias("pk"))
     assert all(r["rank"] == r.sk + 1 for r in sorts.ranked(df, "sk", "pk").collect())

@@ -111,8 +111,8 @@ def test_plans(spark, sf, tmp_path):
         assert node in plan(joins.rows(JoinSpec(r, s, strategy, Family.PRIMARY)))
     scan = plan(counts.count_product(JoinSpec(r, s)))
     assert "ReadSchema: struct<o_custkey:bigint>" in scan and "ReadSchema: struct<user_id:bigint>" in scan
-    index.save_bucketed(index.build(s, Layout.COMPOSITE, purged=True), "bucketed_events", 4)
-    index.save_bucketed(index.build(r, Layout.COMPOSITE, purged=True), "bucketed_orders", 4)
+    index.save_bucketed(index.build(s, Layout.COMPOSITE, purged=True).df, "bucketed_events", 4)
+    index.save_bucketed(index.build(r, Layout.COMPOSITE, purged=True).df, "bucketed_orders", 4)
     merged = spark.table("bucketed_orders").join(spark.table("bucketed_events").hint("merge"), "sk")
     assert "Exchange" not in plan(merged) and merged.count() == 8931
 
@@ -120,10 +120,74 @@ def test_plans(spark, sf, tmp_path):
 def test_a_large_side_is_not_broadcast(spark, sf, monkeypatch):
     from millrace.sources import tables
 
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 10)
     r, s = tables.orders(spark, sf), tables.events(spark, sf)
+    assert planner.choose(JoinSpec(r, s)).strategy is Strategy.BROADCAST
+    for module in (joins, planner):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 10)
     assert "ShuffledHashJoin" in plan(joins.rows(JoinSpec(r, s, Strategy.BROADCAST)))
-    assert planner.choose(JoinSpec(r, s)).strategy is Strategy.AUTO or joins.BROADCAST_BYTES == 10
+    assert planner.choose(JoinSpec(r, s)).strategy is Strategy.AUTO
+    paths = {"left_path": AccessPath(Layout.COMPOSITE), "right_path": AccessPath(Layout.LAZY)}
+    assert planner.choose(JoinSpec(r, s, **paths)).strategy is Strategy.SORT_MERGE
+
+
+@pytest.fixture(scope="module")
+def updates(spark):
+    rng = random.Random(3)
+    return relation(spark, [(rng.randrange(60), rng.randrange(12)) for _ in range(300)])
+
+
+@pytest.mark.parametrize("layout", list(Layout))
+@pytest.mark.parametrize("covering", [False, True])
+def test_stored_indexes(spark, updates, micro, layout, covering):
+    path = AccessPath(layout, covering, covering)
+    kept = index.store(updates, path, buckets=4)
+    assert list(kept.indexes) == [path] and index.access(kept, AccessPath(layout, covering)) is kept.indexes[path]
+    assert pairs(index.access(kept, path).valid()) == pairs(upsert.latest(updates))
+    for left in (updates, micro[0]):
+        assert sorted(map(tuple, joins.index_probe(left, kept, layout, covering).collect())) == sorted(map(tuple, joins.rows(JoinSpec(left, updates)).collect()))
+    merged = joins.index_merge(kept, kept, path, path)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, counts.count_product(JoinSpec(updates, updates)).select(*merged.columns).collect()))
+
+
+def test_stored_indexes_are_read_without_an_exchange(spark, updates):
+    path = AccessPath(Layout.EAGER, True, True)
+    kept = index.store(updates, path, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = joins.index_merge(kept, kept, path, path)
+        assert "Exchange" not in plan(merged) and "Window" not in plan(merged)
+        probe = joins.index_probe(updates, kept, Layout.EAGER, True)
+        probe.collect()
+        below = plan(probe)
+        assert "Bucketed: true" in below and "payload" not in below.split("Scan parquet")[1].split("ReadSchema")[0].split("Output")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_the_columns_asked_for_are_read(spark, tmp_path):
+    spark.createDataFrame([(k % 5, k % 3, k, "x" * 50) for k in range(40)], ARRIVALS).write.parquet(str(tmp_path / "wide"))
+    rel = Relation(spark.read.parquet(str(tmp_path / "wide")))
+    for df in (joins.index_probe(rel, rel, Layout.COMPOSITE, False), joins.rows(JoinSpec(rel, rel)), joins.index_merge(rel, rel, AccessPath(), AccessPath(Layout.COMPOSITE))):
+        assert "payload" not in plan(df)
+
+
+def test_lists_of_frequent_keys(spark, monkeypatch):
+    monkeypatch.setattr(index, "SEGMENT", 7)
+    rng = random.Random(9)
+    rows = [(k, 0 if rng.random() < 0.6 else rng.randrange(1, 9)) for k in range(200)]
+    for broadcast in (1_000_000, 0):
+        monkeypatch.setattr(index, "BROADCAST_KEYS", broadcast)
+        for layout in (Layout.LAZY, Layout.EAGER):
+            got = {(r.sk, r.segment): [p.pk for p in r.postings] for r in index.build(relation(spark, rows), layout).df.collect()}
+            for sk in range(9):
+                own = [p for p, s in rows if s == sk][:: 1 if layout is Layout.LAZY else -1]
+                assert [got.get((sk, k)) for k in range(-(-len(own) // 7))] == [own[k : k + 7] for k in range(0, len(own), 7)]
+
+
+def test_counters(spark):
+    row = index.counters(relation(spark, [(1, 5), (2, 5), (1, 6), (1, 7)])).first()
+    assert tuple(row) == (4, 4, 2)
+    assert tuple(index.counters(relation(spark, [(1, 1)]).__class__(relation(spark, [(1, 1)]).df.limit(0))).first()) == (0, 0, 0)
 
 
 def test_access_path_names():
