@@ -203,16 +203,22 @@ def test_covering_needs_purging(micro):
         index.build(micro[0], Layout.LAZY, covering=True, purged=False)
 
 
-def test_streaming_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("compact", [2, 20])
+def test_streaming_equals_batch(spark, tmp_path, compact):
     from millrace.streaming import upserts
 
     rng = random.Random(1)
-    rows = [(rng.randrange(20), rng.randrange(5), k, "x") for k in range(90)]
-    for k in range(3):
-        spark.createDataFrame(rows[k * 30 : k * 30 + 30], ARRIVALS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = [(rng.randrange(20), rng.randrange(5), k, "x") for k in range(140)]
+    for k in range(7):
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], ARRIVALS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = upserts.start(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    query = upserts.start(stream, str(tmp_path / "out"), str(tmp_path / "check"), compact)
     query.awaitTermination()
     assert query.exception() is None
-    got = upserts.read_version(spark, str(tmp_path / "out"), 2)
-    assert pairs(got) == pairs(upsert.latest(Relation(spark.createDataFrame(rows, ARRIVALS))))
+    got = upserts.read_version(spark, str(tmp_path / "out"), 6, compact)
+    want = pairs(upsert.latest(Relation(spark.createDataFrame(rows, ARRIVALS))))
+    assert pairs(got) == want
+    left = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert ("whole=5" in left) == (compact == 2) and ("batch=0" in left) == (compact == 20) and "whole=1" not in left
+    upserts.upsert_into(str(tmp_path / "out"), compact)(spark.read.schema(ARRIVALS).parquet(str(tmp_path / "out" / "batch=6")), 7)  # a batch that runs again changes nothing
+    assert pairs(upserts.read_version(spark, str(tmp_path / "out"), 7, compact)) == want
