@@ -19,11 +19,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from millrace.functions.keys import little_endian
 from millrace.storage import ship
 
 WIDTH = 8
@@ -150,10 +148,32 @@ def read_keys(spark: SparkSession, path: str, limit: int | None = None, long: bo
     return (reader.option("limit", limit) if limit is not None else reader).load(path)
 
 
+def _record_bytes(spark: SparkSession, path: str) -> int:
+    """The longest record, of 8 bytes times a power of two up to 64 kB, that divides all files."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    sizes = [x.getLen() for x in found if x.isFile() and x.getPath().getName()[0] not in "._"]
+    size = 1 << 16
+    while any(n % size for n in sizes):
+        size //= 2
+        if size < WIDTH:
+            raise ValueError(f"a file of {path} ends within a key")
+    return size
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+        for a in range(0, len(keys), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + BATCH_ROWS], pa.uint64()).cast(pa.decimal128(20, 0))], ["sk"])
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(sk decimal) of files in any store that Spark reads, in no order."""
-    records = spark.sparkContext.binaryRecords(path, WIDTH).map(lambda r: (bytearray(r),))
-    return spark.createDataFrame(records, "raw binary").select(little_endian(F.col("raw")).alias("sk"))
+    """(sk decimal) of files in any store that Spark reads, in no order; keys come in
+    records of as many as the files' sizes allow and are decoded at once."""
+    ship(spark)
+    records = spark.sparkContext.binaryRecords(path, _record_bytes(spark, path)).map(lambda r: (bytearray(r),))
+    return spark.createDataFrame(records, "raw binary").mapInArrow(_decoded, "sk decimal(20,0)")
 
 
 def write_keys(keys: DataFrame, path: str, column: str = "sk") -> None:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -62,6 +63,11 @@ def test_key_files(spark, tmp_path):
     assert [(r.seq, int(r.sk)) for r in got] == list(enumerate(values))
     assert u64.read_keys(spark, str(tmp_path / "a"), limit=3).count() == 3 and u64.read_keys(spark, str(tmp_path / "a"), limit=0).count() == 0
     assert sorted(int(r.sk) for r in u64.read_records(spark, str(tmp_path / "a")).collect()) == values
+    (tmp_path / "many").mkdir()
+    for name, n in (("x", 4096), ("y", 1024)):
+        (tmp_path / "many" / name).write_bytes(np.arange(n, dtype="<u8").tobytes())
+    assert u64._record_bytes(spark, str(tmp_path / "many")) == 8192
+    assert sorted(int(r.sk) for r in u64.read_records(spark, str(tmp_path / "many")).collect()) == sorted([*range(4096), *range(1024)])
     with pytest.raises(PySparkException):
         u64.read_keys(spark, str(tmp_path / "a")).collect()
     (tmp_path / "b").write_bytes(b"123456789")
