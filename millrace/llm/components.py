@@ -25,6 +25,17 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     return dealt.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")  # nothing here is broadcast: no side has a bound
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: str, spread: str, rows: int) -> DataFrame:
+    """Inner join on a key of which ``left`` may have very many rows and ``right`` one
+    wide one: a key's rows are dealt to tasks of about ``rows``, and ``right`` is copied
+    only as often as its key needs."""
+    deal = left.groupBy(on).agg(F.ceil(F.count("*") / rows).alias("_deals"))
+    copies = right.join(deal, on).withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_deals") - 1)))
+    many = deal.filter("_deals > 1").withColumnRenamed("_deals", "_of")
+    dealt = salted_join(left, many, [on], spread, "left").withColumn("_deal", F.pmod(F.xxhash64(spread), F.coalesce("_of", F.lit(1))))
+    return dealt.drop("_of").join(copies.drop("_deals").hint("merge"), [on, "_deal"]).drop("_deal")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each vertex's larger (or smaller) neighbours to its least one; edges have u > v."""
     around = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges

@@ -84,6 +84,51 @@ def test_chain_through_blocks(spark, monkeypatch):
     assert run(spark, rows, 2) == brute(rows, 2)
 
 
+def test_a_bucket_of_unlike_sets(spark):
+    """5,000 texts share the minima of one band and little else; a few of them are linked."""
+    rng = np.random.default_rng(6)
+    words = np.array([f"q{k}" for k in range(60_000)])
+    data, offs = B.string_buffers(pa.array([f"{a} {b}" for a, b in zip(words, rng.permutation(words))]))
+    elements, sizes = minhash.shingle_sets(data, offs, 2)
+    assert (sizes == 1).all()
+    raw = data.tobytes().decode()
+    least = [int((elements * minhash._A[k] + minhash._B[k]).argmin()) for k in range(minhash.ROWS)]
+    common = " ".join(raw[offs[k] : offs[k + 1]] for k in least)
+    texts = [[common, *(f"u{k}x{j}" for j in range(14))] for k in range(5000)]
+    linked = {}
+    for k in range(0, 300, 3):  # a copy with one word more
+        texts[k + 2500] = [*texts[k], "more"]
+        linked[k + 2500] = k
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    data, offs = B.string_buffers(pa.array([t for _, t in rows]))
+    sig = minhash.minima(*minhash.shingle_sets(data, offs, 2))
+    assert (sig[:, : minhash.ROWS] == sig[0, : minhash.ROWS]).all(axis=1).sum() > 4900
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=2).collect()}
+    assert got == {k: linked.get(k, k) for k in range(5000)}
+
+
+@pytest.mark.parametrize("less, together", [(0, True), (1, False)])
+def test_very_long_texts_on_the_threshold(spark, less, together):
+    both, own = 400_000, 50_000
+    shared = [f"s{k}" for k in range(both - less)]
+    a, b = ([*shared, *(f"{side}{k}" for k in range(own + (less if side == "a" else 0)))] for side in "ab")
+    # |both| / |union| is 400,000 / 500,000, or one shingle less
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "s1 s2")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=1).collect()}
+    assert got == {1: 1, 2: 1 if together else 2, 3: 3}
+
+
+def test_blocks_join_components_by_few_exact_links():
+    shared, sig = " ".join(f"s{k}" for k in range(400_000)), bytes(4 * minhash.BANDS * minhash.ROWS)
+    own = lambda c, n=50_000: " ".join(f"{c}{k}" for k in range(n))
+    texts = {5: f"{shared} {own('a')}", 6: f"{shared} {own('b')}", 7: f"{shared} {own('c', 50_001)}", 8: "q r", 9: "q r"}
+    rows = [(0, 0, 0, k, k, sig, side, t) for k, t in texts.items() for side in (0, 1)]
+    table = pa.table(dict(zip(("band", "i", "j", "cls", "comp", "sig", "side", "text"), map(list, zip(*rows)))))
+    got = {frozenset((r["a"], r["b"])) for r in minhash._meet(1, 80)(table).to_pylist()}
+    assert got == {frozenset((5, 6)), frozenset((8, 9))}  # 400,000 of 500,000, and one more
+
+
 def test_empty_and_extra_columns(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, "x", 9)], "doc_id long, text string, component_id int")
