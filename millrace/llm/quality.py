@@ -10,9 +10,12 @@ of the document.  Prefixes of three words or more give the repeated 3-word windo
 A document is kept if the base rules pass, the repeated part is at most
 ``max_fraction`` of its words and no repeat is longer than ``max_repeat`` words.
 
-Defined results: a null or empty text has no words and fails; repeated documents
-are judged alike; no document meets another; an empty table gives an empty table;
-input columns called like an added column are replaced.
+Defined results: a null or empty text has no words and fails; a repeat of exactly
+``min_repeat`` words counts, a part of exactly ``max_fraction`` or a repeat of exactly
+``max_repeat`` words passes; a very long text is sorted as a whole, in memory of some
+50 times its size; repeated documents are judged alike; no document meets another; an
+empty table gives an empty table; input columns called like an added column are
+replaced.
 """
 
 from __future__ import annotations
@@ -151,16 +154,25 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, mi
     return out.mapInArrow(_measurer(text_col, schema.fieldNames(), rules), schema)
 
 
+#: A repeat of 10 words or more is a run of 10-word windows found twice or more; one of
+#: more than 200 words holds a 201-word window found twice.
 RULES_SQL = r"""
 with w as (select row_number() over () as row, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-tri as (select row, i, words[i : i + 2] as three from (select row, words, unnest(range(1, len(words) - 1)) as i from w)),
-rep as (select row, i, count(*) over (partition by row, three) as n from tri),
-cov as (select row, count(distinct j) as n from (select row, unnest([i, i + 1, i + 2]) as j from rep where n > 1) group by row),
+win as (select row, size, i, array_to_string(words[i : i + size - 1], ' ') as span
+        from (select row, words, size, unnest(range(1, len(words) - size + 2)) as i from w, (values (3), (10)) t(size) where len(words) >= size)),
+rep as (select row, size, i, count(*) over (partition by row, size, span) as n from win),
+cov as (select row, size, count(distinct j) as n from (select row, size, unnest(range(i, i + size)) as j from rep where n > 1) group by row, size),
+c as (select row, sum(n) filter (where size = 3) as n3, sum(n) filter (where size = 10) as n10 from cov group by row),
+long as (select row, 1 as n201 from (select row, span from (
+           select row, array_to_string(words[i : i + 200], ' ') as span from (select row, words, unnest(range(1, len(words) - 199)) as i from w join c using (row) where n10 > 201 and len(words) > 201))
+         group by row, span having count(*) > 1) group by row),
 lines as (select row, unnest(string_split(text, chr(10))) as line from w),
-dup as (select row, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by row)
-select doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
-       length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,
-       coalesce(cov.n, 0)::bigint as n_repeat_words,
-       len(words) < 50 or 100 * coalesce(cov.n, 0) > 50 * len(words) as base_failed
-from w left join cov using (row) left join dup using (row)
+dup as (select row, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by row),
+r as (select doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,
+             coalesce(n3, 0)::bigint as n_repeat_words, coalesce(n10, 0) as n10, coalesce(n201, 0) as n201
+      from w left join c using (row) left join long using (row) left join dup using (row))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n10 / greatest(n_words, 1)::double <= 0.3 and n201 = 0 as kept
+from r
 """

@@ -84,4 +84,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.DEDUP_SQL, "op5_chat_formatting": chat.CHAT_SQL, "op7_decontamination": decontam.FIND_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {
+        "op2_minhash_dedup": minhash.NEAR_SQL,
+        "op3_line_dedup": linededup.DEDUP_SQL,
+        "op5_chat_formatting": chat.CHAT_SQL,
+        "op7_decontamination": decontam.FIND_SQL,
+        "op8_mixing": mixing.MIX_SQL,
+        "op10_quality_rules": quality.RULES_SQL,
+    }
