@@ -37,6 +37,12 @@ class Words:
             place = place + many
         return out, total
 
+    def prefixes(self, sizes: tuple[int, ...], tables: int) -> np.ndarray:
+        """Hashes below ``tables`` of each distinct word's first bytes, a column for each size."""
+        hasher, length = B.Hasher(self.data), self.until - self.at
+        each = [B.mix(hasher(self.at, self.at + np.minimum(length, n)) + np.uint64(n)) % np.uint64(tables) for n in sizes]
+        return np.stack(each, axis=1).astype(np.int32)
+
     @classmethod
     def of(cls, texts: list[str], limit: int = 1 << 20) -> Words:
         """Words of texts of any total size; only the distinct ones' bytes are kept."""

@@ -1,22 +1,27 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is the sum of a hashed word vector and the mean of its hashed
-character n-gram vectors.  Windows of ``WINDOW`` words, each overlapping the one
+A word's input is the sum of a hashed word vector, the mean of its hashed character
+n-gram vectors and the mean of those of its beginnings, which carry the stems of words
+that the sample doesn't have.  Windows of ``WINDOW`` words, each overlapping the one
 before, run through gated recurrent units in both directions; attention pools the
 states and a logistic unit gives the window's score.  A text's score is its highest
 window's, and every window of the whole text is scored.
 
 ``fit`` trains on at most ``max_rows`` labelled documents (clean, toxic), chosen by a
-hash of their ids.  First the vectors' leading component is set from the features'
-log-odds in the sample; then all weights are trained by Adam on the windows that
+hash of their ids.  First a component of the vectors is set from the features' log-odds in
+the sample, one each for words, stems and n-grams, and features of fewer than
+``MIN_SEEN`` documents are dropped; then all weights are trained by Adam on the windows that
 score highest (of clean texts, the most toxic-looking and a random one), which are
 chosen anew in every epoch.  A tenth of the sample teaches nothing but the last
 bias, which is set where it parts toxic from clean texts best.
 
-Defined results: a null text, or one without a letter or digit, scores 0; without a
-row of both labels to learn from every score is 0; a document with several labels
-counts as toxic if one says so; null labels and null ids teach nothing; an empty
-table gives an empty table; input columns called like an added column are replaced.
+Defined results: a null or empty text, or one without a letter or digit, scores 0;
+without rows of both labels to learn from every score is 0; a score of exactly the
+threshold counts as toxic; of windows that score alike the first counts; a very long text
+is scored window by window, in memory of a constant times its size; repeated rows score
+alike; a document with several labels counts as toxic if one says so; null labels and
+null ids teach nothing; an empty table gives an empty table; input columns called like
+an added column are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +38,11 @@ from millrace.llm import _bytes as B
 from millrace.llm._features import Words, sum_rows
 
 WINDOW, STRIDE = 32, 24
-TABLE = 1 << 15
-SIZES = (3, 4, 5)
+#: Rows of the tables of hashed words, n-grams and stems.
+TABLES = {"word": 1 << 18, "char": 1 << 16, "stem": 1 << 16}
+SIZES, STEMS = (3, 4, 5), (4, 5, 6, 7)
+#: A feature of fewer documents of the sample is no feature: it would only name them.
+MIN_SEEN = 3
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 BATCH = 4096
 THRESHOLD = 0.7
@@ -60,7 +68,7 @@ class Network:
 
     def __init__(self, seed: int = 5):
         g = np.random.default_rng(seed)
-        self.p: dict[str, np.ndarray] = {"word": g.normal(0, 0.05, (TABLE, WIDTH)), "char": g.normal(0, 0.05, (TABLE, WIDTH))}
+        self.p: dict[str, np.ndarray] = {k: g.normal(0, 0.02, (n, WIDTH)) for k, n in TABLES.items()}
         for side in "fb":
             self.p |= {f"W{side}": g.normal(0, 0.4, (WIDTH, 3 * HIDDEN)), f"U{side}": g.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), f"b{side}": np.zeros(3 * HIDDEN)}
             self.p[f"W{side}"][0] *= 2
@@ -68,16 +76,21 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self.steps = 0
+        #: Rows of the tables that may be learnt; all others stay as they are.
+        self.open = {k: np.ones(n, bool) for k, n in TABLES.items()}
 
-    def inputs(self, words: Words) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        grams, many = words.ngrams(SIZES, TABLE)
-        own = (words.keys % np.uint64(TABLE)).astype(np.int64)
+    def inputs(self, words: Words) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Input vectors of distinct words; and their words', n-grams' and stems' hashes."""
+        grams, many = words.ngrams(SIZES, TABLES["char"])
+        own, stems = (words.keys % np.uint64(TABLES["word"])).astype(np.int64), words.prefixes(STEMS, TABLES["stem"])
         x, until = self.p["word"][own], np.cumsum(many)
+        for k in range(len(STEMS)):
+            x += self.p["stem"][stems[:, k]] / np.float32(len(STEMS))
         for a in range(0, len(own), 8192):
             size = many[a : a + 8192]
             part = grams[until[a] - many[a] : until[a + len(size) - 1]]
             x[a : a + len(size)] += sum_rows(self.p["char"][part], size) / np.maximum(size, 1)[:, None].astype(np.float32)
-        return x, (own, grams, many)
+        return x, (own, grams, many, stems)
 
     def run(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of windows of rows of x; -1 stands for no word."""
@@ -104,7 +117,7 @@ class Network:
         logit = pooled @ self.p["w"] + self.p["c"]
         return (logit, (states, trace, mask, u, alpha, pooled)) if keep else logit
 
-    def learn(self, x: np.ndarray, made_of: tuple[np.ndarray, np.ndarray, np.ndarray], index: np.ndarray, label: np.ndarray, rate: float) -> float:
+    def learn(self, x: np.ndarray, made_of: tuple[np.ndarray, ...], index: np.ndarray, label: np.ndarray, rate: float) -> float:
         logit, (states, trace, mask, u, alpha, pooled) = self.run(x, index, keep=True)
         prob = _sigmoid(logit)
         d_logit = ((prob - label) / len(label)).astype(np.float32)
@@ -137,22 +150,30 @@ class Network:
                 d_h = d_h * (1 - z) + d_rh * r + d_gates @ U[:, : 2 * HIDDEN].T
             g[f"U{side}"], g[f"b{side}"], g[f"W{side}"] = d_U, d_b, x.T @ d_in
             d_x += d_in @ W.T
-        own, grams, many = made_of
-        g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
+        own, grams, many, stems = made_of
         used = np.flatnonzero(np.abs(d_x).sum(axis=1))
-        np.add.at(g["word"], own[used], d_x[used])
-        spread = (d_x / np.maximum(many, 1)[:, None])[used]
+        d_used, d_char = d_x[used], (d_x / np.maximum(many, 1)[:, None])[used]
         first = np.cumsum(many) - many
         places = np.repeat(first[used] - (np.cumsum(many[used]) - many[used]), many[used]) + np.arange(int(many[used].sum()))
-        np.add.at(g["char"], grams[places], np.repeat(spread, many[used], axis=0))
         self.steps += 1
         for k, grad in g.items():
-            m, s = self.moments[k]
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            self.p[k] -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-6)
+            self._step(k, slice(None), grad, rate)
+        # of the tables only the rows that were used move
+        for k, at, grad in (("word", own[used], d_used), ("char", grams[places], np.repeat(d_char, many[used], axis=0)), ("stem", stems[used].ravel(), np.repeat(d_used / len(STEMS), len(STEMS), axis=0))):
+            keep = self.open[k][at]
+            rows, back = np.unique(at[keep], return_inverse=True)
+            grad = grad[keep]
+            total = np.stack([np.bincount(back, weights=grad[:, j], minlength=len(rows)) for j in range(WIDTH)], axis=1).astype(grad.dtype)
+            self._step(k, rows, total, rate)
         return float(-np.mean(np.where(label > 0, np.log(prob + 1e-9), np.log(1 - prob + 1e-9))))
 
+    def _step(self, name: str, rows, grad: np.ndarray, rate: float) -> None:
+        """A step of Adam for some rows of a weight."""
+        m, s = self.moments[name]
+        m[rows] += 0.1 * (grad - m[rows])
+        s[rows] += 0.01 * (grad * grad - s[rows])
+        self.p[name][rows] -= rate * (m[rows] / (1 - 0.9**self.steps)) / (np.sqrt(s[rows] / (1 - 0.99**self.steps)) + 1e-6)
+
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The highest window's score of every text."""
         out = np.zeros(len(offs) - 1)
@@ -167,19 +188,19 @@ class Network:
         return out
 
 
-def _log_odds(pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds of each feature in the documents to use, from blocks of
-    (document, feature) pairs, a document in one block."""
+def _log_odds(pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, use: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shrunk log-odds of each feature in the documents to use, and how many of them
+    have it; from blocks of (document, feature) pairs, a document in one block."""
     is_toxic, is_clean = label * use, (1 - label) * use
-    toxic, clean = np.zeros(TABLE), np.zeros(TABLE)
+    toxic, clean = np.zeros(table), np.zeros(table)
     for doc, feature in pairs:
-        pair = np.unique(doc * TABLE + feature)
-        d, f = pair // TABLE, pair % TABLE
-        toxic += np.bincount(f, weights=is_toxic[d], minlength=TABLE)
-        clean += np.bincount(f, weights=is_clean[d], minlength=TABLE)
+        pair = np.unique(doc * table + feature)
+        d, f = pair // table, pair % table
+        toxic += np.bincount(f, weights=is_toxic[d], minlength=table)
+        clean += np.bincount(f, weights=is_clean[d], minlength=table)
     odds = np.log((toxic + 0.5) / (is_toxic.sum() + 1)) - np.log((clean + 0.5) / (is_clean.sum() + 1))
     seen = toxic + clean
-    return np.clip(odds * seen / (seen + 5), -4, 4)
+    return np.clip(odds * seen / (seen + 2), -5, 5), seen
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, check_every: int = 10) -> Network | None:
@@ -193,22 +214,27 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, c
         check = np.zeros(len(label), bool)
     words = Words.of(texts)
     _, made_of = net.inputs(words)
-    own, grams, many = made_of
+    own, grams, many, stems = made_of
     first = np.cumsum(many) - many
     until = np.cumsum(words.counts)
 
-    def blocks(chars: bool, size: int = 100) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def blocks(kind: str, size: int = 100) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for a in range(0, len(texts), size):
             counts = words.counts[a : a + size]
             seen = np.unique((B.row_of(counts) + a) * len(own) + words.which[until[a] - words.counts[a] : until[min(a + size, len(texts)) - 1]])
             d, u = seen // len(own), seen % len(own)
-            if chars:
+            if kind == "stem":
+                yield np.repeat(d, len(STEMS)), stems[u].ravel()
+            elif kind == "char":
                 yield np.repeat(d, many[u]), grams[np.repeat(first[u] - (np.cumsum(many[u]) - many[u]), many[u]) + np.arange(int(many[u].sum()))]
             else:
                 yield d, own[u]
 
-    net.p["word"][:, 0] += _log_odds(blocks(False), label, ~check) / 2
-    net.p["char"][:, 0] += _log_odds(blocks(True), label, ~check)
+    for k, (kind, part) in enumerate((("word", 1.0), ("stem", 0.5), ("char", 0.5))):  # each in a component of its own
+        odds, seen = _log_odds(blocks(kind), label, ~check, TABLES[kind])
+        net.open[kind] = seen >= MIN_SEEN
+        net.p[kind][:, k] += odds * part
+        net.p[kind][~net.open[kind]] = 0
     index, owner = windows(words.counts)
     index = np.where(index >= 0, words.which[index], -1).astype(np.int32)
 
@@ -231,24 +257,24 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, c
             used = used[used >= 0]
             sub_many = many[used]
             sub = np.repeat(first[used] - (np.cumsum(sub_many) - sub_many), sub_many) + np.arange(int(sub_many.sum()))
-            local = (own[used], grams[sub], sub_many)
-            xs = net.p["word"][local[0]] + sum_rows(net.p["char"][local[1]], sub_many) / np.maximum(sub_many, 1)[:, None].astype(np.float32)
+            local = (own[used], grams[sub], sub_many, stems[used])
+            xs = net.p["word"][local[0]] + sum_rows(net.p["char"][local[1]], sub_many) / np.maximum(sub_many, 1)[:, None].astype(np.float32) + net.p["stem"][local[3]].mean(axis=1)
             net.learn(xs, local, back, label[owner[part]], 0.01 if epoch < epochs - 2 else 0.003)
     every, best = logits()
     best = best[check[owner[best]]]
     if len(best):
         net.p["c"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(every[best], label[owner[best]]))
-    net.moments = {}
+    net.moments, net.open = {}, {}
     return net
 
 
 def _cut(logit: np.ndarray, label: np.ndarray) -> float:
-    """Where toxic and clean texts part best, a clean text rejected counting as three
+    """Where toxic and clean texts part best, a clean text rejected counting as two
     toxic ones kept; of equal places the middle one."""
     order = np.argsort(logit)
     logit, label = logit[order], label[order]
     places = np.concatenate([[logit[0] - 1], (logit[1:] + logit[:-1]) / 2, [logit[-1] + 1]])
-    cost = np.concatenate([[0], np.cumsum(label)]) + 3 * ((1 - label).sum() - np.concatenate([[0], np.cumsum(1 - label)]))
+    cost = np.concatenate([[0], np.cumsum(label)]) + 2 * ((1 - label).sum() - np.concatenate([[0], np.cumsum(1 - label)]))
     least = np.flatnonzero(cost == cost.min())
     return float((places[least[0]] + places[least[-1]]) / 2)
 
@@ -285,7 +311,7 @@ def _scorer(shared, text_col: str, names: list[str], threshold: float):
 
 
 def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with score and predicted.  The network has a fixed size (2 MB)."""
+    """``docs`` with score and predicted.  The network has a fixed size (13 MB)."""
     out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED))
     schema = T.StructType([*out.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in ADDED.items())])
     shared = docs.sparkSession.sparkContext.broadcast(net)

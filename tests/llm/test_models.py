@@ -3,6 +3,7 @@
 import copy
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -54,6 +55,42 @@ def test_blocks_give_the_marginals_of_the_whole(n, monkeypatch):
     assert np.allclose(got[3:], whole[:, 0], atol=1e-5)
 
 
+def slow_label(tagger, text):
+    """Words, hashed features and all labellings of a short text, one by one."""
+    def at(raw, salt=0):
+        h = B.Hasher(np.frombuffer(raw, np.uint8))(np.array([0]), np.array([len(raw)]))
+        return int((B.mix(h + np.uint64(salt)) if salt else h)[0] % np.uint64(langid.TABLE))
+
+    ascii_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.translate(ascii_lower))
+    if not any(map(str.isalpha, text)):
+        return "und", 0.0
+    weights, move = tagger.weights.astype(float), tagger.move.astype(float)
+    emit = []
+    for w in (w.encode() for w in words):
+        marked = b"^" + w + b"$"
+        found = [at(marked[k : k + n]) for n in langid.SIZES for k in range(len(marked) - n + 1)] + [at(w)]
+        found += [x for n in langid.AFFIXES for x in (at(w[:n], n), at(w[-n:], 64 + n))]
+        emit.append(sum(weights[f] for f in found))
+    labels = range(len(tagger.languages))
+    share, total = np.zeros(len(labels)), 0.0
+    for y in itertools.product(labels, repeat=len(words)):
+        p = np.exp(sum(emit[t][y[t]] for t in range(len(y))) + sum(move[a, b] for a, b in itertools.pairwise(y)))
+        total += p
+        for t, w in enumerate(words):
+            share[y[t]] += p * any(map(str.isalpha, w))
+    return tagger.languages[int(share.argmax())], share.max() / share.sum()
+
+
+def test_labels_against_brute_force():
+    tagger = langid.train(["la casa blanca es grande", "the white house is big", "das weisse haus ist gross"] * 3, ["es", "en", "de"] * 3)
+    texts = ["la house", "Casa 12 the \u2014 x", "haus", "the white casa es gross", "12 34", "", "\u00c9t\u00e9 ist 7", "is is is la la", "\u6f22 the"]
+    best, score = tagger.label(*B.string_buffers(pa.array(texts)))
+    for k, text in enumerate(texts):
+        lang, share = slow_label(tagger, text)
+        assert (tagger.languages[best[k]] if best[k] >= 0 else "und") == lang and score[k] == pytest.approx(share, abs=1e-4)
+
+
 NO_LETTERS = ["\u2014 \u2026 \u201c\u201d", "\u20ac \u00a3 \u00d7", "\u3002\u3001\uff01", "\U0001f600\U0001f600", "\u00a0", "\u0663\u0664\u0665", "\u00bf?", "\u00bd \u00b2", "\u2160\u0301", "7"]
 LETTERS = ["\u00e9", "\u6f22", "\u0431", "\u2014 x", "\u00aa", "\U00010400", "3\u00b2\u02b0", "\u05d0"]
 
@@ -144,6 +181,57 @@ def test_windows_cover_every_word():
         assert sorted({i for i in index[doc == 1].ravel().tolist() if i >= 0}) == list(range(3, 3 + n))
 
 
+def slow_score(net, text):
+    """Words, windows, gated units and attention, one number at a time."""
+    def sig(v):
+        return 1 / (1 + np.exp(-v))
+
+    def index_of(raw, table, salt=0):  # the same hash, of one piece
+        h = B.Hasher(np.frombuffer(raw, np.uint8))(np.array([0]), np.array([len(raw)]))
+        return int((B.mix(h + np.uint64(salt)) if salt else h)[0] % np.uint64(table))
+
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    ascii_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [w.encode() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.translate(ascii_lower))]
+    x = []
+    for w in words:
+        marked = b"^" + w + b"$"
+        grams = [index_of(marked[k : k + n], toxicity.TABLES["char"]) for n in toxicity.SIZES for k in range(len(marked) - n + 1)]
+        stems = [index_of(w[:n], toxicity.TABLES["stem"], n) for n in toxicity.STEMS]
+        x.append(p["word"][index_of(w, toxicity.TABLES["word"])] + sum((p["char"][g] for g in grams), 0 * p["word"][0]) / max(1, len(grams)) + sum(p["stem"][s] for s in stems) / len(stems))
+    best, at, size = 0.0, 0, toxicity.WINDOW
+    while words:
+        inside = x[at : at + size]
+        states = []
+        for side, order in (("f", inside), ("b", inside[::-1])):
+            h, H, out = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN, []
+            for v in order:
+                g = v @ p[f"W{side}"] + p[f"b{side}"]
+                z, r = sig(g[:H] + h @ p[f"U{side}"][:, :H]), sig(g[H : 2 * H] + h @ p[f"U{side}"][:, H : 2 * H])
+                c = np.tanh(g[2 * H :] + (r * h) @ p[f"U{side}"][:, 2 * H :])
+                h = (1 - z) * h + z * c
+                out.append(h)
+            states.append(out if side == "f" else out[::-1])
+        both = [np.concatenate(s) for s in zip(*states)]
+        e = np.array([np.tanh(s @ p["A"] + p["a"]) @ p["v"] for s in both])
+        a = np.exp(e - e.max())
+        pooled = sum(w * s for w, s in zip(a / a.sum(), both))
+        best = max(best, float(sig(pooled @ p["w"] + p["c"])[0]))
+        if at + size >= len(x):
+            return best
+        at += toxicity.STRIDE
+    return best
+
+
+def test_scores_against_brute_force():
+    rows = planted(90, random.Random(2))
+    net = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], epochs=2)
+    rng = random.Random(4)
+    texts = [t for _, t, _ in rows[:6]] + ["", "...", "a", "Vilba, É 日本 x1!", "vilbami " * 33, " ".join(rng.choice(["ba", "vilte", "lomi"]) for _ in range(57))]
+    got = net.score(*B.string_buffers(pa.array(texts)))
+    assert np.allclose(got, [slow_score(net, t) for t in texts], atol=1e-5) and len(set(got.round(6))) > 6
+
+
 def planted(n, rng):
     rows = []
     for k in range(n):
@@ -205,4 +293,4 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     out = corpus_pipeline.run(spark, folder).collect()
     ends = sorted((r.start, r.start + r.n_tokens) for r in out)
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(ends))
-    assert decontam.ADDED  # the hits' columns never leak into documents
+    assert not set(decontam.ADDED) & set(now.columns)  # the hits' columns never leak into documents
