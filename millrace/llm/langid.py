@@ -18,7 +18,7 @@ Defined results: a null or empty text, or one without a letter (Unicode categori
 is ``und`` with score 0; with nothing to learn from all texts are; words are runs of
 ASCII letters, digits and all other code points beyond ASCII; of equal shares the first
 language in code-point order wins; a text of any length is labelled as a whole, in
-memory of some 60 times its size; repeated rows are labelled alike; null languages and
+memory of some 40 times its size; repeated rows are labelled alike; null languages and
 null ids teach nothing; an empty table gives an empty table; input columns called like
 an added column are replaced.
 """
