@@ -35,6 +35,8 @@ from millrace.llm._session import checkpointed
 
 #: Words of a range, the rows that one window meets.
 RANGE_WORDS = 1 << 21
+#: A source has 16 ** LEAST_DIGITS ranges at least, so that its rows spread over many tasks.
+LEAST_DIGITS = 3
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
@@ -61,7 +63,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3
     )
     sized = checkpointed(sized)
     largest = sized.groupBy("_mx_null", "_mx_source").agg(F.sum("_mx_size").alias("n")).agg(F.max("n")).first()[0] or 0
-    digits = max(1, -(-(largest // range_words).bit_length() // 4))
+    digits = max(LEAST_DIGITS, -(-(largest // range_words).bit_length() // 4))
     rows = sized.withColumn("_mx_range", F.substring("_mx_key", 1, digits))
     by = ["_mx_null", "_mx_source", "_mx_range"]
     totals = rows.groupBy(*by).agg(F.sum("_mx_size").alias("_mx_sum"))
