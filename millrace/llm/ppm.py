@@ -1,6 +1,6 @@
 """LM scoring by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts up to ``ORDER`` with the counts of the bytes
+The model is a trie of byte contexts up to ``order`` with the counts of the bytes
 that follow each in the training texts.  A byte's probability comes from the
 longest context seen; escapes are estimated by method D (half a count from every
 symbol), and the symbols of the longer contexts are excluded from the shorter ones.
@@ -17,15 +17,20 @@ The trie grows with the corpus and is never gathered in one place:
    training counts, dealt to buckets by the key's last two context bytes, so all
    suffixes of order 2 or more of a context share its bucket;
 2. each bucket merges the counts of all units, which gives its part of the trie,
-   and answers every unit with the log-probabilities of just the keys it asked for;
+   and answers every unit with the log-probabilities of just the keys it asked for.
+   A bucket of more than ``group_bytes`` is that of a very common pair of bytes.  Its
+   units are dealt to groups of that size: groups merge their own counts, in as many
+   rounds as it takes, then the bucket's trie, which has every key once, answers each
+   group apart.  So what a task reads doesn't grow with the number of units;
 3. each unit adds up its answers for every document.
 
 Only the 65,536 counts of byte pairs (orders 0 and 1) go through the driver.  Words
 are counted the same way for the base score, a unigram model with one added count.
 
 Defined results: a null or empty text is one end token; rows are scored one by one,
-repeated ones alike; a null id is in training; without any training row all
-counts are 0; an empty table gives an empty table; extra columns are not read.
+repeated ones alike; a very long text is a unit of its own, in memory of a constant
+times its size; a null id is in training; without any training row all counts are 0;
+an empty table gives an empty table; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,10 +44,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _bytes as B
-from millrace.llm._session import checkpointed
+from millrace.llm._session import checkpointed, discard, shared_folder
+from millrace.llm.components import salted_join
 
-ORDER = 5  # a key of 6 bytes is laid out for this
+ORDER, MOST_ORDER = 5, 7  # a key, a context and its byte, has 64 bits at most
 UNIT = 7 << 19
+BUCKET_BYTES = 12 << 20
+GROUP_BYTES = 16 << 20
+#: Split buckets are broadcast up to so many (a few bytes each), else joined over salted keys.
+BROADCAST_ROWS = 100_000
 END, SPACE = 10, 32
 GRAMS, WORDS, PAIRS, TEXTS, TOTALS = range(5)
 _END_TOKEN = np.uint64(0xE4D0E4D0E4D0E4D1)
@@ -73,7 +83,7 @@ def expand_sorted(data: bytes) -> np.ndarray:
 class Unit:
     """Texts as token streams, with their keys and words in sorted order."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, order: int):
         low = B.LOWER[data]
         starts, ends, counts = B.spans(B.SPACED[data], offs)
         n = len(counts)
@@ -87,13 +97,13 @@ class Unit:
         self.n_tokens = counts + 1
         self.token_doc = B.row_of(self.n_tokens)
         self.words, self.word_of = np.unique(tokens, return_inverse=True)
-        # bytes: ORDER end symbols before every text, a separator after every word
+        # bytes: ``order`` end symbols before every text, a separator after every word
         length = ends - starts
         word_doc = B.row_of(counts)
         first = np.cumsum(counts) - counts
         last = np.zeros(len(starts), bool)
         last[(np.cumsum(counts) - 1)[counts > 0]] = True
-        marks = np.where(counts > 0, ORDER, ORDER + 1)  # an empty text has its end symbol besides
+        marks = np.where(counts > 0, order, order + 1)  # an empty text has its end symbol besides
         flat = low[B.SPACED[data]]
         place = np.concatenate([[0], np.cumsum(length)])
         at = np.concatenate([np.repeat(place[first], marks), place[1:]])
@@ -105,19 +115,16 @@ class Unit:
         size = marks + np.bincount(word_doc, weights=length + 1, minlength=n).astype(np.int64)
         begin = np.cumsum(size) - size
         pads = np.zeros(len(stream), bool)
-        for k in range(ORDER):
+        for k in range(order):
             pads[begin + k] = True
-        two = stream.astype(np.uint16)
-        two[1:] |= two[:-1] << np.uint16(8)
-        key = two.astype(np.uint64)  # 6 bytes, and 2 for the text's number
-        key[2:] |= two[:-2].astype(np.uint64) << np.uint64(16)
-        key[4:] |= two[:-4].astype(np.uint64) << np.uint64(32)
-        key <<= np.uint64(16)
-        key |= np.repeat(np.arange(n, dtype=np.uint16), size)
-        key = key[~pads]
-        key.sort()
-        self.key_doc = key.astype(np.uint16)
-        key >>= np.uint64(16)
+        key = stream.astype(np.uint64)
+        for have in (1, 2, 4):  # bytes in a key, doubled until there are enough
+            if have <= order:
+                key[have:] |= key[:-have] << np.uint64(8 * have)
+        key = _last(key, order + 1)[~pads]
+        by = np.argsort(key)
+        key = key[by]
+        self.key_doc = np.repeat(np.arange(n, dtype=np.uint16), size - order)[by]
         new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
         self.key_first = np.flatnonzero(new)
         self.keys = key[new]
@@ -138,16 +145,16 @@ def _pairs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pair.astype(np.int64), np.bincount(which, weights=counts, minlength=len(pair)).astype(np.int64)
 
 
-_ROWS = "kind int, unit long, bucket int, a binary, b binary, pair array<long>, pair_n array<long>"
-_ROW_TYPE = pa.schema([("kind", pa.int32()), ("unit", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("pair", pa.list_(pa.int64())), ("pair_n", pa.list_(pa.int64()))])
+_ROWS = "unit long, bucket int, a binary, b binary, pair array<long>, pair_n array<long>, bytes long, kind int"
+_ROW_TYPE = pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("pair", pa.list_(pa.int64())), ("pair_n", pa.list_(pa.int64())), ("bytes", pa.int64()), ("kind", pa.int32())])
 
 
-def _cutter(parts: int):
+def _cutter(parts: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi, data, offs in B.text_chunks(batch.column(1), UNIT):
-                unit, train = Unit(data, offs), ~np.array(batch.column(2).slice(lo, hi - lo))
+                unit, train = Unit(data, offs, order), ~np.array(batch.column(2).slice(lo, hi - lo))
                 texts = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(~train), pa.array(np.diff(offs))], ["id", "held", "size"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
@@ -160,7 +167,7 @@ def _cutter(parts: int):
                     for k in np.unique(bucket).tolist():
                         own = bucket == k
                         rows.append({"kind": kind, "bucket": k, "a": squeeze_sorted(keys[own]), "b": squeeze(counts[own])})
-                out = pa.RecordBatch.from_pylist([r | {"unit": number} for r in rows], _ROW_TYPE)
+                out = pa.RecordBatch.from_pylist([r | {"unit": number, "bytes": len(r.get("a", b"")) + len(r.get("b", b""))} for r in rows], _ROW_TYPE)
                 del unit, rows, keys, counts, bucket, own, key_n, word_n, texts, sink
                 yield out
                 number += 1
@@ -173,13 +180,13 @@ def _cutter(parts: int):
 class Trie:
     """A bucket's part of the trie: contexts of order 2 and more, with those below."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int):
         self.pairs, self.single = pairs, pairs.sum(axis=0)
         keys, counts = keys[counts > 0], counts[counts > 0]
         #: Of each order: keys, their counts; contexts, their totals, numbers of symbols, first keys, and whether they are used.
         self.levels: dict[int, list[np.ndarray]] = {}
-        for k in range(ORDER, 1, -1):
-            if k < ORDER:
+        for k in range(order, 1, -1):
+            if k < order:
                 keys, which = np.unique(_last(keys, k + 1), return_inverse=True)
                 counts = np.bincount(which, weights=counts, minlength=len(keys)).astype(np.int64)
             context, first = np.unique(keys >> np.uint64(8), return_index=True)
@@ -190,7 +197,7 @@ class Trie:
         for k, (keys, _, _, _, _, first, _) in self.levels.items():
             for j in range(k):
                 self.shadow[k, j] = np.add.reduceat(self.count(keys, j), first) if len(first) else np.zeros(0, np.int64)
-        for k in range(2, ORDER + 1):
+        for k in range(2, order + 1):
             self.levels[k][-1] = self._worth(k)
 
     def _worth(self, k: int) -> np.ndarray:
@@ -267,36 +274,103 @@ def _found(known: np.ndarray, asked: np.ndarray, values: np.ndarray) -> tuple[np
 
 
 _ANSWERS = "unit long, kind int, bucket int, data binary, n long, v long"
+_MERGED = "kind int, bucket int, a binary, b binary, bytes long"
+_TOLD = "kind int, bucket int, a binary, data binary, n long, v long"
 
 
-def _answerer(shared):
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each row, all distinct keys, their counts, and each row's keys' places."""
+    asked = [expand_sorted(x) for x in table["a"].to_pylist()]
+    counts = np.concatenate([expand(x, np.int64) for x in table["b"].to_pylist()])
+    keys, which = np.unique(np.concatenate(asked), return_inverse=True)
+    totals = np.zeros(len(keys), np.int64)
+    np.add.at(totals, which, counts)
+    return asked, keys, totals, which
+
+
+def _valued(kind: int, keys: np.ndarray, totals: np.ndarray, shared, order: int) -> np.ndarray:
+    """What a unit is told of each key: its log-probability, or a word's count."""
+    if kind != GRAMS:
+        return totals
+    pairs = np.zeros(65_536, np.int64)
+    pairs[shared.value[0]] = shared.value[1]
+    return Trie(keys, totals, pairs.reshape(256, 256), order).log10(keys, order).astype(np.float32)
+
+
+def _told(kind: int, bucket: int, units: list[int], data: list[bytes], n: int = 0, v: int = 0) -> pa.Table:
+    """Answers to units; -1 stands for the row of a bucket's totals."""
+    rows = len(units)
+    return pa.table({"unit": pa.array(units, pa.int64()), "kind": pa.array([TOTALS if u < 0 else kind for u in units], pa.int32()), "bucket": pa.array([bucket] * rows, pa.int32()), "data": pa.array(data, pa.binary()), "n": pa.array([n if u < 0 else 0 for u in units], pa.int64()), "v": pa.array([v if u < 0 else 0 for u in units], pa.int64())})
+
+
+def _answerer(shared, order: int):
+    """A whole bucket: its trie, and the answers to its units."""
+
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        asked = [expand_sorted(x) for x in table["a"].to_pylist()]
-        counts = np.concatenate([expand(x, np.int64) for x in table["b"].to_pylist()])
-        keys, which = np.unique(np.concatenate(asked), return_inverse=True)
-        totals = np.zeros(len(keys), np.int64)
-        np.add.at(totals, which, counts)
-        if kind == GRAMS:
-            pairs = np.zeros(65_536, np.int64)
-            pairs[shared.value[0]] = shared.value[1]
-            values = Trie(keys, totals, pairs.reshape(256, 256)).log10(keys, ORDER).astype(np.float32)
-        else:
-            values = totals
-        cuts = np.cumsum([len(x) for x in asked])[:-1]
-        data = [squeeze(x) for x in np.split(values[which], cuts)]
-        rows = len(data)
-        units = pa.concat_arrays([table["unit"].combine_chunks() if table["unit"].num_chunks != 1 else table["unit"].chunk(0), pa.array([-1], pa.int64())])
-        own = [units, pa.array([kind] * rows + [TOTALS], pa.int32()), pa.array([bucket] * (rows + 1), pa.int32()), pa.array([*data, b""], pa.binary())]
-        own += [pa.array([0] * rows + [int(totals.sum()) if kind == WORDS else 0], pa.int64()), pa.array([0] * rows + [int((totals > 0).sum()) if kind == WORDS else 0], pa.int64())]
-        del asked, counts, keys, which, totals, values
+        asked, keys, totals, which = _merged(table)
+        values = _valued(kind, keys, totals, shared, order)
+        data = [squeeze(x) for x in np.split(values[which], np.cumsum([len(x) for x in asked])[:-1])]
+        words = kind == WORDS
+        out = _told(kind, bucket, [*table["unit"].to_pylist(), -1], [*data, b""], int(totals.sum()) * words, int((totals > 0).sum()) * words)
+        del asked, keys, totals, which, values, data
         B.release()
-        return pa.Table.from_arrays(own, ["unit", "kind", "bucket", "data", "n", "v"])
+        return out
+
+    return run
+
+
+def _merger(table: pa.Table) -> pa.Table:
+    """One row for the rows of a group: their distinct keys and counts."""
+    _, keys, totals, _ = _merged(table)
+    a, b = squeeze_sorted(keys), squeeze(totals)
+    return pa.table({"kind": table["kind"][:1], "bucket": table["bucket"][:1], "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary()), "bytes": pa.array([len(a) + len(b)], pa.int64())})
+
+
+def _teller(shared, order: int):
+    """A split bucket's keys and what units are told of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"][0].as_py()
+        _, keys, totals, _ = _merged(table)
+        values, words = _valued(kind, keys, totals, shared, order), kind == WORDS
+        out = {"kind": table["kind"][:1], "bucket": table["bucket"][:1], "a": pa.array([squeeze_sorted(keys)], pa.binary()), "data": pa.array([squeeze(values)], pa.binary())}
+        return pa.table(out | {"n": pa.array([int(totals.sum()) * words], pa.int64()), "v": pa.array([int((totals > 0).sum()) * words], pa.int64())})
 
     return run
 
 
-def _adder(parts: int, n: int, v: int):
+def _looker(units: pa.Table, told: pa.Table) -> pa.Table:
+    """Answers to a group of a split bucket's units."""
+    kind, bucket = told["kind"][0].as_py(), told["bucket"][0].as_py()
+    keys, values = expand_sorted(told["a"][0].as_py()), expand(told["data"][0].as_py(), np.float32 if kind == GRAMS else np.int64)
+    data = [squeeze(values[np.searchsorted(keys, expand_sorted(x))]) for x in units["a"].to_pylist()]
+    return _told(kind, bucket, units["unit"].to_pylist(), data)
+
+
+def _split_answers(asks: DataFrame, crowded: DataFrame, shared, order: int, group_bytes: int) -> DataFrame:
+    """Answers of the buckets that no task may read whole; ``crowded``: their groups."""
+    dealt = asks.join(crowded, ["kind", "bucket"]).withColumn("group", F.pmod(F.xxhash64("unit"), "groups"))
+    now = checkpointed(dealt.groupBy("kind", "bucket", "group").applyInArrow(_merger, _MERGED))
+    while True:  # rounds of merging, each at least halving the pieces, until a task can read them
+        sizes = now.groupBy("kind", "bucket").agg(F.ceil(F.sum("bytes") / F.greatest(F.lit(group_bytes), 2 * F.max("bytes"))).alias("groups"))
+        if sizes.filter("groups > 1").isEmpty():
+            break
+        pieces = now.join(sizes, ["kind", "bucket"]).withColumn("group", F.pmod(F.xxhash64("a"), "groups"))
+        now = checkpointed(pieces.groupBy("kind", "bucket", "group").applyInArrow(_merger, _MERGED))
+    told = checkpointed(now.groupBy("kind", "bucket").applyInArrow(_teller(shared, order), _TOLD))
+    copies = told.join(crowded, ["kind", "bucket"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    by = ["kind", "bucket", "group"]
+    answers = dealt.select(*by, "unit", "a").groupBy(*by).cogroup(copies.select(*by, "a", "data").groupBy(*by)).applyInArrow(_looker_of, _ANSWERS)
+    totals = told.select(F.lit(-1).cast("long").alias("unit"), F.lit(TOTALS).alias("kind"), "bucket", F.lit(b"").alias("data"), "n", "v")
+    return answers.unionAll(totals)
+
+
+def _looker_of(units: pa.Table, told: pa.Table) -> pa.Table:
+    return _looker(units, told) if units.num_rows else _told(0, 0, [], [])
+
+
+def _adder(parts: int, order: int, n: int, v: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -304,7 +378,7 @@ def _adder(parts: int, n: int, v: int):
         raw = texts["b"][0].as_py()
         size = int.from_bytes(raw[:8], "little")
         data = np.frombuffer(pa.decompress(raw[8:], size, "zstd", asbytes=True), np.uint8)
-        unit = Unit(data, np.concatenate([[0], np.cumsum(rows["size"].to_numpy())]).astype(np.int64))
+        unit = Unit(data, np.concatenate([[0], np.cumsum(rows["size"].to_numpy())]).astype(np.int64), order)
         by_key, by_word = unit.buckets(parts)
         logs, counts = np.zeros(len(unit.keys)), np.zeros(len(unit.words), np.int64)
         for kind, bucket, packed in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["data"].to_pylist()):
@@ -325,19 +399,33 @@ def _adder(parts: int, n: int, v: int):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every row's log10 probability (``score``) under the model of the rows that are
     not held out, with the unigram ``base_score``, token counts and bytes scored."""
+    if not 2 <= order <= MOST_ORDER:
+        raise ValueError(f"an order from 2 to {MOST_ORDER}")
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, size // (12 << 20))
-    units = checkpointed(rows.mapInArrow(_cutter(parts), _ROWS))
+    parts = max(8, size // BUCKET_BYTES)
+    folder = shared_folder(spark, "units")
+    units = checkpointed(rows.mapInArrow(_cutter(parts, order), _ROWS), folder=folder, parts=("kind",))
     pairs = units.filter(F.col("kind") == PAIRS).select(F.explode(F.arrays_zip("pair", "pair_n")).alias("x")).groupBy("x.pair").agg(F.sum("x.pair_n").alias("n")).collect()
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in pairs], np.int64), np.array([r[1] for r in pairs], np.int64)))
-    answers = checkpointed(units.filter(F.col("kind").isin(GRAMS, WORDS)).select("kind", "unit", "bucket", "a", "b").groupBy("kind", "bucket").applyInArrow(_answerer(shared), _ANSWERS))
+    shared = spark.sparkContext.broadcast((np.array([r[0] for r in pairs], np.int64), np.array([r[1] for r in pairs], np.int64)))
+    asks = units.filter(F.col("kind").isin(GRAMS, WORDS)).select("kind", "unit", "bucket", "a", "b")
+    crowded = units.filter(F.col("kind").isin(GRAMS, WORDS)).groupBy("kind", "bucket").agg(F.ceil(F.sum("bytes") / group_bytes).alias("groups")).filter("groups > 1")
+    crowded = checkpointed(crowded)
+    whole, n_crowded = asks, crowded.count()
+    if n_crowded:
+        few = n_crowded <= BROADCAST_ROWS
+        whole = asks.join(F.broadcast(crowded), ["kind", "bucket"], "left_anti") if few else salted_join(asks, crowded, ["kind", "bucket"], "unit", "left_anti")
+    answers = whole.groupBy("kind", "bucket").applyInArrow(_answerer(shared, order), _ANSWERS)
+    if n_crowded:
+        answers = answers.unionAll(_split_answers(asks, F.broadcast(crowded) if few else crowded, shared, order, group_bytes))
+    answers = checkpointed(answers)
+    for kind in (GRAMS, WORDS):  # answered, so nothing reads them again
+        discard(spark, f"{folder}/kind={kind}")
     n, v = answers.filter(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    texts = units.filter(F.col("kind") == TEXTS).select("unit", "a", "b")
+    texts = spark.read.schema(units.schema).parquet(folder).filter(F.col("kind") == TEXTS).select("unit", "a", "b")
     told = answers.filter(F.col("kind") != TOTALS).select("unit", "kind", "bucket", "data")
-    return texts.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(_adder(parts, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
-
-
+    return texts.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(_adder(parts, order, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")

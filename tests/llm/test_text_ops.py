@@ -51,18 +51,18 @@ def test_suffix_order(text):
 # Language model
 
 
-def brute_ppm(texts, held):
+def brute_ppm(texts, held, order):
     def tokens_of(t):
         return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(ASCII_LOWER))
 
     def stream(t):
-        return b"\n" * ppm.ORDER + " ".join(tokens_of(t)).encode() + b"\n"
+        return b"\n" * order + " ".join(tokens_of(t)).encode() + b"\n"
 
     contexts = {}
     for t, h in zip(texts, held):
         s = stream(t)
-        for i in range(ppm.ORDER, len(s)):
-            for k in range(0 if h else ppm.ORDER + 1):
+        for i in range(order, len(s)):
+            for k in range(0 if h else order + 1):
                 contexts.setdefault(s[i - k : i], Counter())[s[i]] += 1
 
     def log10(s, i, top, passed):
@@ -81,7 +81,7 @@ def brute_ppm(texts, held):
         return out - math.log10(max(1, 256 - len(contexts.get(b"", ()))))
 
     passed = set()
-    for k in range(2, ppm.ORDER + 1):
+    for k in range(2, order + 1):
         lower = set(passed)
         for c, followers in contexts.items():
             if len(c) == k:
@@ -101,17 +101,18 @@ def brute_ppm(texts, held):
     out = []
     for t in texts:
         s, own = stream(t), [*tokens_of(t), None]
-        out.append((len(own), sum(counts[w] > 0 for w in own), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), sum(log10(s, i, ppm.ORDER, passed) for i in range(ppm.ORDER, len(s)))))
+        out.append((len(own), sum(counts[w] > 0 for w in own), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), sum(log10(s, i, order, passed) for i in range(order, len(s)))))
     return out
 
 
-def test_ppm_against_brute_force(spark):
+@pytest.mark.parametrize("order, group_bytes", [(3, 1), (5, 1 << 20), (6, 60)])
+def test_ppm_against_brute_force(spark, order, group_bytes):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["the", "theory", "Other", "then", "é", "a", "ab", "abc"]) for _ in range(rng.randrange(0, 25))) for _ in range(30)] + ODD
     held = [k % 5 == 2 for k in range(len(texts))]
     df = spark.createDataFrame(list(zip(range(len(texts)), texts, held)), "doc_id long, text string, out boolean").repartition(3)
-    got = {r.doc_id: r for r in ppm.score(df, F.col("out")).collect()}
-    for k, want in enumerate(brute_ppm(texts, held)):
+    got = {r.doc_id: r for r in ppm.score(df, F.col("out"), order, group_bytes=group_bytes).collect()}
+    for k, want in enumerate(brute_ppm(texts, held, order)):
         r = got[k]
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3] and r.held_out == held[k]
         assert r.base_score == pytest.approx(want[3], rel=1e-9, abs=1e-9) and r.score == pytest.approx(want[4], rel=1e-5, abs=1e-5)
@@ -196,7 +197,7 @@ def test_remove_passages(spark):
 def test_fm_index(text, pattern):
     text = np.array([*text, 0], np.int64)
     index = decontam.FMIndex(text, sample=3)
-    which, lo, hi = index.search(np.array([pattern], np.int64))
+    which, lo, hi = index.search(np.array(pattern, np.int32), np.array([0]), np.array([0]), len(pattern))
     found = sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) if len(which) else []
     assert found == [k for k in range(len(text)) if text[k : k + len(pattern)].tolist() == pattern]
 
@@ -325,6 +326,15 @@ def test_constants_are_folded():
     assert tree == (template.Emit(template.Const("abCde")),)
 
 
+def test_folding_leaves_branches_never_taken_alone():
+    for source, want in (("{% if false %}{{ 1 % 0 }}{% endif %}a", "a"), ("{% if true %}b{% else %}{{ 1 < 'x' }}{% endif %}", "b"), ("{{ 'c' if true else 1 % 0 }}", "c"), ("{{ false and 1 % 0 }}", "false")):
+        assert template.render(source) == want
+    for source in ("{{ 1 % 0 }}", "{{ 1 < 'x' }}", "{{ 5 | length }}", "{{ x + 1 }}", "{{ x in 5 }}"):
+        write = template.compile_template(source)  # compiles: it fails where it is rendered
+        with pytest.raises(template.TemplateError):
+            list(write(x=None))
+
+
 @pytest.mark.parametrize("bad", ["{% if x %}", "{% endfor %}", "{{ x", "{{ x.y() }}", "{{ open('f') }}", "{% import os %}", "{{ 1 + }}", "{{ x | nothing }}", "{% for %}{% endfor %}"])
 def test_bad_templates(bad):
     if bad == "{{ x":
