@@ -5,6 +5,9 @@ Typed columns need none of this; it serves byte-compatible exports and exact buc
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,16 @@ def missing_digits(key: Column, width: int = KEY_DIGITS) -> Column:
     return F.lit(width) - F.least(F.lit(width), F.length(key.cast("string")))
 
 
+def missing_digits_of_power(key: Column, power: int, width: int = KEY_DIGITS) -> Column:
+    """``missing_digits`` of an even power, for every key: the power is only made where it
+    has fewer digits than ``width``, so it can't overflow."""
+    if power < 2 or power % 2:
+        raise ValueError("the power must be even")
+    most = next(k for k in range(10**width) if (k + 1) ** power >= 10 ** (width - 1))
+    product = reduce(mul, [key] * power)
+    return F.when(key.between(-most, most), missing_digits(product, width)).otherwise(F.lit(0))
+
+
 def pad_truncated(key: Column, width: int = KEY_DIGITS) -> Column:
     """Zero-padded decimal cut to its first ``width`` digits, as fixed-width readers see it."""
     return F.lpad(key.cast("string"), width, "0")

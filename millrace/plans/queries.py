@@ -152,7 +152,7 @@ add("key_encode", _key_functions, f"""select pk, format('{{:010d}}', sk) as padd
 add("chunk_set", lambda spark, d: tables.orders(spark, d).df.select("pk", F.array_join(F.array_sort(keys.chunks(keys.compose(F.col("sk"), F.col("pk")), 3)), "|").alias("pieces")), "select pk, array_to_string(list_sort(list_distinct(regexp_extract_all(format('{:010d}', sk) || format('{:010d}', pk), '.{1,3}'))), '|') as pieces from r_ord")
 add("line_fields", lambda spark, d: tables.orders(spark, d).df.select("pk", keys.fields(keys.trim_newline(F.concat_ws(",", F.col("sk").cast("string"), F.concat(F.col("pk").cast("string"), F.lit("\n"))))).alias("f")).select("pk", F.col("f")[0].alias("a"), F.col("f")[1].alias("b")), "select pk, sk::varchar as a, pk::varchar as b from r_ord")
 add("short_lines", lambda spark, d: tables.orders(spark, d).df.select("pk", keys.fields(F.when(F.col("pk") % 3 == 0, F.col("sk").cast("string")).otherwise(F.concat_ws(",", "sk", "pk"))).alias("f")).select("pk", F.col("f").isNull().alias("dropped"), F.size("f").alias("n")), "select pk, pk % 3 = 0 as dropped, case when pk % 3 = 0 then null else 2 end as n from r_ord")
-add("missing_digits", lambda spark, d: tables.orders(spark, d).df.select("pk", keys.missing_digits(F.col("sk") * F.col("sk") * F.col("sk") * F.col("sk")).alias("n")), "select pk, 10 - least(10, length((sk * sk * sk * sk)::varchar)) as n from r_ord")
+add("missing_digits", lambda spark, d: tables.orders(spark, d).df.select("pk", keys.missing_digits_of_power(F.col("sk").cast("long"), 4).alias("n")), "select pk, 10 - least(10, length((sk * sk * sk * sk)::varchar)) as n from r_ord")
 add("little_endian", lambda spark, d: tables.orders(spark, d).df.select("pk", F.hex(keys.to_little_endian(F.col("sk"))).alias("bytes"), keys.little_endian(keys.to_little_endian(F.col("sk"))).cast("long").alias("key")), "select pk, string_agg(substr(h, 15 - 2 * k::int, 2), '' order by k) as bytes, any_value(sk) as key from (select pk, sk, lpad(to_hex(sk), 16, '0') as h from r_ord), range(0, 8) t(k) group by pk")
 add("value_sizes", lambda spark, d: spark.createDataFrame([(e, grid.value_size(e)) for e in grid.ENTRY_SIZES], "entry long, value long"), "select e as entry, ceil(0.95 * e - 10)::bigint as value from (values (32::bigint), (128), (512), (1024), (2048)) t(e)")
 add("drop_posting", lambda spark, d: index.build(tables.events(spark, d), Layout.LAZY, purged=True).df.select("sk", "segment", F.array_join(F.transform(keys.without(F.col("postings"), F.lit(5)), lambda p: p["pk"].cast("string")), ",").alias("postings")), "select sk, 0::bigint as segment, coalesce(string_agg(pk::varchar, ',' order by seq) filter (where pk <> 5), '') as postings from s_evt group by sk")
