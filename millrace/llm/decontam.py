@@ -23,7 +23,7 @@ added column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -247,14 +247,27 @@ def _searcher(shared, text_col: str, names: list[str]):
     return run
 
 
-def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", group_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` with n_words, hits (merged spans of words) and items (ids as sorted strings)."""
+def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", group_bytes: int = 16 << 20, then: Callable | None = None) -> DataFrame:
+    """``docs`` with n_words, hits (merged spans of words) and items (ids as sorted strings).
+
+    ``then``: what the workers that search the last group of items do with its batches,
+    which keep their columns.
+    """
     out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED))
     schema = T.StructType([*out.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in ADDED.items())])
-    for k, group in enumerate(_groups(items, item_id, item_text, group_bytes)):
+    search = None
+    for group in _groups(items, item_id, item_text, group_bytes):
+        if search:
+            out = checkpointed(out.mapInArrow(search, schema))
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(group, window))
-        out = (checkpointed(out) if k else out).mapInArrow(_searcher(shared, text_col, schema.fieldNames()), schema)
-    return out
+        search = _searcher(shared, text_col, schema.fieldNames())
+    return out.mapInArrow(_chained(search, then) if then else search, schema)
+
+
+def _chained(first: Callable, then: Callable):
+    """Both steps in one worker; a second ``mapInArrow`` in a stage would start another
+    one for each task, and Spark keeps them all for the stages that follow."""
+    return lambda batches: then(first(batches))
 
 
 def _cutter(text_col: str, names: list[str]):
@@ -286,8 +299,8 @@ def remove_passages(docs: DataFrame, items: DataFrame, text_col: str = "text", *
     """
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_dc_rest") if rest else F.lit(0).alias("_dc_rest"), F.col(text_col).alias("_dc_text"))
-    found = find_passages(rows, items, text_col="_dc_text", **options)
-    cut = found.mapInArrow(_cutter("_dc_text", found.columns), found.schema)
+    names = [*rows.columns, *ADDED]
+    cut = find_passages(rows, items, text_col="_dc_text", then=_cutter("_dc_text", names), **options)
     left = (F.size("hits") == 0) | (F.regexp_replace(F.lower("_dc_text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "") != "")
     return cut.filter(left).select(*(F.col("_dc_text").alias(c) if c == text_col else F.col("_dc_rest").getField(c).alias(c) for c in docs.columns))
 

@@ -192,6 +192,19 @@ def test_remove_passages(spark):
     assert all(r["hits"] == 1 for r in out.collect())
 
 
+def test_passages_are_cut_where_they_are_found(spark):
+    """One Python worker for each task, with one group of items and with several."""
+    words = [f"w{k}" for k in range(60)]
+    passages = [" ".join(words[a : a + 12]) for a in (0, 20, 40)]
+    rows = [(k, f"before {passages[k % 3]} and {passages[(k + 1) % 3]} after") for k in range(6)] + [(6, None), (7, ""), (8, passages[0]), (9, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    for group_bytes in (16 << 20, 60):
+        out = decontam.remove_passages(docs, items, group_bytes=group_bytes)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert {r.doc_id: r.text for r in out.collect()} == {k: "before \n and \n after" for k in range(6)} | {6: None, 7: "", 9: "w1 w2"}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.lists(st.integers(1, 4), min_size=1, max_size=4))
 def test_fm_index(text, pattern):
