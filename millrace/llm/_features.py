@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 from millrace.llm import _bytes as B
 
+#: Distinct words that are hashed at a time, so that memory follows the features alone.
+PART = 8192
+
 
 class Words:
     """The distinct words of a chunk and where each stands."""
@@ -17,31 +22,42 @@ class Words:
         self.keys, at, self.which = np.unique(B.Hasher(self.data)(self.starts, self.ends), return_index=True, return_inverse=True)
         self.at, self.until = self.starts[at], self.ends[at]
 
+    def _parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The bytes of ``PART`` distinct words after the other, and the words' lengths."""
+        for a in range(0, len(self.at), PART):
+            at, length = self.at[a : a + PART], (self.until - self.at)[a : a + PART]
+            yield self.data[np.repeat(at - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))], length
+
     def ngrams(self, sizes: tuple[int, ...], tables: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes below ``tables`` of the byte n-grams of each distinct word, between
         marks of its start and end, and their number in each word."""
-        length = self.until - self.at
-        begin = np.cumsum(length + 2) - (length + 2)
-        padded = np.full(int((length + 2).sum()), 94, np.uint8)
-        inner = np.repeat(begin + 1 - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        padded[inner] = self.data[np.repeat(self.at - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
-        padded[begin + length + 1] = 36
-        hasher = B.Hasher(padded)
-        each = [np.maximum(length + 3 - n, 0) for n in sizes]
-        total = sum(each)
-        out, place = np.empty(int(total.sum()), np.int32), np.cumsum(total) - total
-        for n, many in zip(sizes, each):
-            turn = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            first = np.repeat(begin, many) + turn
-            out[np.repeat(place, many) + turn] = hasher(first, first + n) % np.uint64(tables)
-            place = place + many
-        return out, total
+        grams, totals = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for data, length in self._parts():
+            begin = np.cumsum(length + 2) - (length + 2)
+            padded = np.full(int((length + 2).sum()), 94, np.uint8)
+            padded[np.repeat(begin + 1 - (np.cumsum(length) - length), length) + np.arange(len(data))] = data
+            padded[begin + length + 1] = 36
+            hasher = B.Hasher(padded)
+            each = [np.maximum(length + 3 - n, 0) for n in sizes]
+            total = sum(each)
+            out, place = np.empty(int(total.sum()), np.int32), np.cumsum(total) - total
+            for n, many in zip(sizes, each):
+                turn = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                first = np.repeat(begin, many) + turn
+                out[np.repeat(place, many) + turn] = hasher(first, first + n) % np.uint64(tables)
+                place = place + many
+            grams.append(out)
+            totals.append(total)
+        return np.concatenate(grams), np.concatenate(totals)
 
     def prefixes(self, sizes: tuple[int, ...], tables: int) -> np.ndarray:
         """Hashes below ``tables`` of each distinct word's first bytes, a column for each size."""
-        hasher, length = B.Hasher(self.data), self.until - self.at
-        each = [B.mix(hasher(self.at, self.at + np.minimum(length, n)) + np.uint64(n)) % np.uint64(tables) for n in sizes]
-        return np.stack(each, axis=1).astype(np.int32)
+        out = [np.zeros((0, len(sizes)), np.int32)]
+        for data, length in self._parts():
+            hasher, at = B.Hasher(data), np.cumsum(length) - length
+            each = [B.mix(hasher(at, at + np.minimum(length, n)) + np.uint64(n)) % np.uint64(tables) for n in sizes]
+            out.append(np.stack(each, axis=1).astype(np.int32))
+        return np.concatenate(out)
 
     @classmethod
     def of(cls, texts: list[str], limit: int = 1 << 20) -> Words:

@@ -16,7 +16,7 @@ chosen anew in every epoch.  A tenth of the sample teaches nothing but the last
 bias, which is set where it parts toxic from clean texts best.
 
 Defined results: a null or empty text, or one without a letter or digit, scores 0;
-without rows of both labels to learn from every score is 0; a score of exactly the
+without rows of both labels to learn from, or a word in them, every score is 0; a score of exactly the
 threshold counts as toxic; of windows that score alike the first counts; a very long text
 is scored window by window, in memory of a constant times its size; repeated rows score
 alike; a document with several labels counts as toxic if one says so; null labels and
@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from millrace.llm import _bytes as B
 from millrace.llm._features import Words, sum_rows
+from millrace.llm._session import tidy
 
 WINDOW, STRIDE = 32, 24
 #: Rows of the tables of hashed words, n-grams and stems.
@@ -82,7 +83,12 @@ class Network:
     def inputs(self, words: Words) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """Input vectors of distinct words; and their words', n-grams' and stems' hashes."""
         grams, many = words.ngrams(SIZES, TABLES["char"])
-        own, stems = (words.keys % np.uint64(TABLES["word"])).astype(np.int64), words.prefixes(STEMS, TABLES["stem"])
+        made_of = (words.keys % np.uint64(TABLES["word"])).astype(np.int64), grams, many, words.prefixes(STEMS, TABLES["stem"])
+        return self.vectors(made_of), made_of
+
+    def vectors(self, made_of: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Input vectors of distinct words by their features' hashes."""
+        own, grams, many, stems = made_of
         x, until = self.p["word"][own], np.cumsum(many)
         for k in range(len(STEMS)):
             x += self.p["stem"][stems[:, k]] / np.float32(len(STEMS))
@@ -90,7 +96,7 @@ class Network:
             size = many[a : a + 8192]
             part = grams[until[a] - many[a] : until[a + len(size) - 1]]
             x[a : a + len(size)] += sum_rows(self.p["char"][part], size) / np.maximum(size, 1)[:, None].astype(np.float32)
-        return x, (own, grams, many, stems)
+        return x
 
     def run(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of windows of rows of x; -1 stands for no word."""
@@ -98,7 +104,8 @@ class Network:
         states, trace = np.empty((rows, WINDOW, 2 * HIDDEN), np.float32), {}
         for side, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
             U, part = self.p[f"U{side}"], slice(0, HIDDEN) if side == "f" else slice(HIDDEN, 2 * HIDDEN)
-            projected = x @ self.p[f"W{side}"] + self.p[f"b{side}"]
+            projected = x @ self.p[f"W{side}"]
+            projected += self.p[f"b{side}"]
             h = np.zeros((rows, HIDDEN), np.float32)
             for t in order:
                 inp = projected[index[:, t]]
@@ -109,6 +116,7 @@ class Network:
                     trace[side, t] = (h, z, r, c)
                 h = h + z * (c - h)
                 states[:, t, part] = h
+            del projected
         u = np.tanh(states @ self.p["A"] + self.p["a"])
         e = np.where(mask > 0, u @ self.p["v"], -1e9)
         alpha = np.exp(e - e.max(axis=1, keepdims=True))
@@ -204,7 +212,7 @@ def _log_odds(pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray,
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, check_every: int = 10) -> Network | None:
-    """A network for labelled texts; None without both labels."""
+    """A network for labelled texts; None without both labels or without a word."""
     label = np.array(labels, np.float64)
     if not len(label) or label.min() == label.max():
         return None
@@ -213,6 +221,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, c
     if not check_every or not 0 < label[check].sum() < check.sum() or not 0 < label[~check].sum() < (~check).sum():
         check = np.zeros(len(label), bool)
     words = Words.of(texts)
+    if not len(words.which):
+        return None
     _, made_of = net.inputs(words)
     own, grams, many, stems = made_of
     first = np.cumsum(many) - many
@@ -235,11 +245,18 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, c
         net.open[kind] = seen >= MIN_SEEN
         net.p[kind][:, k] += odds * part
         net.p[kind][~net.open[kind]] = 0
-    index, owner = windows(words.counts)
-    index = np.where(index >= 0, words.which[index], -1).astype(np.int32)
+    parts = []
+    for a in range(0, len(texts), 100):
+        part, doc = windows(words.counts[a : a + 100])
+        own_words = words.which[until[a] - words.counts[a] : until[min(a + 100, len(texts)) - 1]]
+        parts.append((np.where(part >= 0, own_words[part] if len(own_words) else -1, -1).astype(np.int32), doc + a))
+    index, owner = (np.concatenate(p) for p in zip(*parts))
+    del parts
+    words = None  # the windows name their words
 
     def logits() -> tuple[np.ndarray, np.ndarray]:
-        x, _ = net.inputs(words)
+        B.release()
+        x = net.vectors(made_of)
         every = np.concatenate([net.run(x, index[a : a + BATCH]) for a in range(0, len(index), BATCH)])
         best = np.lexsort((-every, owner))
         return every, best[np.append(True, owner[best][1:] != owner[best][:-1])]
@@ -265,6 +282,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 5, c
     if len(best):
         net.p["c"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(every[best], label[owner[best]]))
     net.moments, net.open = {}, {}
+    del made_of, own, grams, many, first, stems, index, every, logits
+    B.release()
     return net
 
 
@@ -294,6 +313,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: tuple[in
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: tuple[int, int] = (2_000, 1_400), epochs: int = 6, **names) -> Network | None:
     """Trains on the documents for which ``learn`` (over the id) holds."""
     rows = sample(docs, labels, learn, max_rows, **names)
+    tidy(docs.sparkSession)  # training takes a while, and memory of its own
     return train([t for t, _ in rows], [y for _, y in rows], epochs)
 
 

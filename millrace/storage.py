@@ -36,6 +36,12 @@ def materialized(df: DataFrame, name: str = "stage", folder: str | None = None,
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver's JVM give back the heap that past jobs took, for a step in the
+    driver's Python: both share one machine's memory."""
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes a table that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
